@@ -1,0 +1 @@
+"""Incremental (Structured Streaming) variants of the batch sources and scoring."""
