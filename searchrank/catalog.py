@@ -151,6 +151,7 @@ def q_ndcg_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from . import catalog_more as _more  # noqa: E402,F401  (registers the remaining queries)
+from . import catalog_models as _models  # noqa: E402,F401
 
 
 def queries() -> dict[str, QueryFn]:
