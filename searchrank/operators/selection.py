@@ -30,42 +30,63 @@ def _partitions(df: DataFrame) -> int:
 
 
 def values_at_ranks(df: DataFrame, col: str, ranks: Sequence[int]) -> tuple[int, list[float | None]]:
-    """(number of non-null values, value at each 0-based rank)."""
-    hist = (df.where(F.col(col).isNotNull())
-            .groupBy(F.col(col).cast("double").alias("_v"))
-            .agg(F.count(F.lit(1)).alias("_c")))
-    parted = cut_lineage(hist.repartitionByRange(_partitions(df), "_v").withColumn("_pid", F.spark_partition_id()))
-    totals = sorted((r["_pid"], r["_n"]) for r in parted.groupBy("_pid").agg(F.sum("_c").alias("_n")).collect())
-    n = sum(t for _, t in totals)
-    if n == 0:
-        return 0, [None for _ in ranks]
-    wanted: dict[int, list[tuple[int, int]]] = {}
-    for i, rk in enumerate(ranks):
-        if rk < 0 or rk >= n:
-            raise ValueError(f"rank {rk} outside 0..{n - 1}")
-        before = 0
-        for pid, cnt in totals:
-            if rk < before + cnt:
-                wanted.setdefault(pid, []).append((i, rk - before))
-                break
-            before += cnt
-    w = Window.partitionBy("_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    local = (parted.where(F.col("_pid").isin(list(wanted)))
+    """(number of non-null values, value at each 0-based rank) for one column."""
+    counts, values = values_at_ranks_multi(df, {col: list(ranks)})
+    return counts[col], values[col]
+
+
+def values_at_ranks_multi(df: DataFrame, wanted_ranks: dict[str, list[int]]
+                          ) -> tuple[dict[str, int], dict[str, list[float | None]]]:
+    """Order statistics of several columns in one pass.
+
+    The columns are stacked into (column, value) pairs so one histogram, one range
+    partitioning and one pick job serve all of them.
+    """
+    cols = list(wanted_ranks)
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_k"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)
+    ])).alias("_kv")).select("_kv._k", "_kv._v")
+    hist = pairs.where(F.col("_v").isNotNull()).groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    parted = cut_lineage(hist.repartitionByRange(_partitions(df), "_k", "_v")
+                         .withColumn("_pid", F.spark_partition_id()))
+    totals = parted.groupBy("_pid", "_k").agg(F.sum("_c").alias("_n")).collect()
+    per_col: dict[int, list[tuple[int, int]]] = {}
+    for r in totals:
+        per_col.setdefault(r["_k"], []).append((r["_pid"], r["_n"]))
+    counts = {c: sum(n for _, n in per_col.get(i, [])) for i, c in enumerate(cols)}
+    # (pid, column index) -> [(output slot, rank inside that partition's run of the column)]
+    wanted: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for i, c in enumerate(cols):
+        runs = sorted(per_col.get(i, []))
+        for slot, rk in enumerate(wanted_ranks[c]):
+            if rk < 0 or rk >= counts[c]:
+                raise ValueError(f"rank {rk} outside 0..{counts[c] - 1} for {c}")
+            before = 0
+            for pid, cnt in runs:
+                if rk < before + cnt:
+                    wanted.setdefault((pid, i), []).append((slot, rk - before))
+                    break
+                before += cnt
+    values: dict[str, list[float | None]] = {c: [None] * len(wanted_ranks[c]) for c in cols}
+    if not wanted:
+        return counts, values
+    w = Window.partitionBy("_pid", "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    keys = F.struct(F.col("_pid"), F.col("_k"))
+    local = (parted.where(keys.isin([F.struct(F.lit(p), F.lit(k)) for p, k in wanted]))
              .withColumn("_cum", F.sum("_c").over(w))
              .withColumn("_prev", F.col("_cum") - F.col("_c")))
     cond = None
-    for pid, items in wanted.items():
+    for (pid, k), items in wanted.items():
         for _, lr in items:
-            c = (F.col("_pid") == pid) & (F.col("_prev") <= lr) & (F.lit(lr) < F.col("_cum"))
+            c = (F.col("_pid") == pid) & (F.col("_k") == k) & (F.col("_prev") <= lr) & (F.lit(lr) < F.col("_cum"))
             cond = c if cond is None else cond | c
-    hits = local.where(cond).select("_pid", "_prev", "_cum", "_v").collect()
-    out: list[float | None] = [None] * len(ranks)
-    for pid, items in wanted.items():
-        for i, lr in items:
+    hits = local.where(cond).select("_pid", "_k", "_prev", "_cum", "_v").collect()
+    for (pid, k), items in wanted.items():
+        for slot, lr in items:
             for h in hits:
-                if h["_pid"] == pid and h["_prev"] <= lr < h["_cum"]:
-                    out[i] = h["_v"]
-    return n, out
+                if h["_pid"] == pid and h["_k"] == k and h["_prev"] <= lr < h["_cum"]:
+                    values[cols[k]][slot] = h["_v"]
+    return counts, values
 
 
 def nearest_rank(n: int, q: float) -> int:
@@ -87,12 +108,20 @@ def nearest_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> dict[floa
 
 def exact_median(df: DataFrame, col: str) -> float | None:
     """Median with the midpoint of the two central values for an even count."""
-    n = count_non_null(df, col)
-    if n == 0:
-        return None
-    lo, hi = (n - 1) // 2, n // 2
-    _, (a, b) = values_at_ranks(df, col, [lo, hi])
-    return (a + b) / 2.0
+    return exact_medians(df, [col])[col]
+
+
+def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
+    """Exact medians of several columns: one count pass, one selection pass."""
+    cols = list(cols)
+    n = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first().asDict()
+    present = {c: [(n[c] - 1) // 2, n[c] // 2] for c in cols if n[c] > 0}
+    out: dict[str, float | None] = {c: None for c in cols}
+    if present:
+        _, vals = values_at_ranks_multi(df, present)
+        for c, (a, b) in vals.items():
+            out[c] = (a + b) / 2.0
+    return out
 
 
 def dense_index(df: DataFrame, col: str, name: str = "idx") -> DataFrame:

@@ -1,0 +1,38 @@
+"""The raw search-log reader as a stream, and ranked submissions per micro-batch.
+
+New CSV files landing in a folder are typed with the same non-strict casts as the
+batch reader, scored with a fitted ranker, and written as ranked ``srch_id,prop_id``
+files, one folder per micro-batch.  The query's checkpoint location makes restarts
+resume from the last committed batch.  A search is assumed to arrive within one file.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from ..functions.dates import preprocess
+from ..operators import ltr
+from ..sources.searchlog import apply_dtypes
+from ..sources.sinks import submission_frame
+
+
+def read_search_log_stream(spark: SparkSession, folder: str, columns: list[str] | None = None,
+                           is_train: bool = False, max_files: int = 100) -> DataFrame:
+    """Streaming CSV source: text columns (header names), then the typed projection."""
+    if columns is None:
+        columns = spark.read.option("header", True).csv(folder).columns  # header only, no data pass
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    raw = (spark.readStream.schema(schema).option("header", True).option("nullValue", "NULL")
+           .option("enforceSchema", False).option("maxFilesPerTrigger", max_files).csv(folder))
+    return apply_dtypes(raw, is_train)
+
+
+def write_ranked_batches(stream: DataFrame, model: ltr.LTRModel, out_dir: str, checkpoint: str):
+    """Start a query that writes each micro-batch's ranked candidates."""
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        scored = ltr.predict_ltr(model, preprocess(batch))
+        (submission_frame(scored, "pred").write.mode("overwrite").option("header", True)
+         .csv(f"{out_dir.rstrip('/')}/batch={batch_id}"))
+
+    return stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint).start()
