@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from ..schema import GROUP_COL
 
 DEFAULT_TIEBREAK = ("prop_id", "price_usd")
+# Groups above this many rows are ranked by the distributed path (one range
+# partition of rows per task instead of the whole group in one task).
+DEFAULT_HOT_ROWS = 1_000_000
 
 
 def order_spec(score: str | Column, descending: bool = True,
@@ -43,11 +46,12 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int, group: str = GROUP_COL
 
 
 def rank_within(df: DataFrame, order: Sequence[Column], group: str = GROUP_COL,
-                rank_col: str = "rank", hot_threshold: int | None = None) -> DataFrame:
+                rank_col: str = "rank", hot_threshold: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
     """Rank every row of its group (1-based, dense positions, total order).
 
-    With ``hot_threshold`` set, groups above that size are ranked by a distributed
-    sort instead of a per-group window.
+    Groups above ``hot_threshold`` rows are ranked by a distributed sort instead of
+    a per-group window; finding them costs one partial-aggregate count pass.  With
+    ``hot_threshold=None`` every group goes through the window.
     """
     w = Window.partitionBy(group).orderBy(*order)
     if hot_threshold is None:
@@ -59,9 +63,13 @@ def _rank_split_hot(df: DataFrame, order: Sequence[Column], group: str, rank_col
                     hot_threshold: int) -> DataFrame:
     from .skew import hot_keys, split_by_keys
 
-    hot = hot_keys(df, group, hot_threshold)
-    normal, heavy = split_by_keys(df, hot, group)
+    hot = hot_keys(df, group, hot_threshold).cache()
     w = Window.partitionBy(group).orderBy(*order)
+    n_hot = hot.count()
+    if n_hot == 0:
+        hot.unpersist()
+        return df.withColumn(rank_col, F.row_number().over(w))
+    normal, heavy = split_by_keys(df, hot, group, n_hot)
     ranked_normal = normal.withColumn(rank_col, F.row_number().over(w))
     ranked_heavy = _rank_hot_groups(heavy, order, group, rank_col)
     return ranked_normal.unionByName(ranked_heavy)

@@ -21,9 +21,9 @@ def hot_keys(df: DataFrame, key: str, threshold: int) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > threshold).select(key)
 
 
-def split_by_keys(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(rows whose key is not in ``keys``, rows whose key is)."""
+def split_by_keys(df: DataFrame, keys: DataFrame, key: str, n: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is not in ``keys``, rows whose key is); ``n`` = known key count."""
     keys = keys.cache()
-    n = keys.count()
+    n = keys.count() if n is None else n
     side = F.broadcast(keys) if n <= MAX_BROADCAST_KEYS else keys
     return df.join(side, key, "left_anti"), df.join(side, key, "left_semi")
