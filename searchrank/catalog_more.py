@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .catalog import K, r6, register
+from .catalog import K, present, r6, register
 from .functions.dates import preprocess
 from .functions.labels import graded_label
 from .operators import align, clean, features, impute, metrics, profile, split
@@ -33,19 +33,6 @@ DUCK = {T.ByteType: "TINYINT", T.ShortType: "SMALLINT", T.IntegerType: "INTEGER"
         T.FloatType: "FLOAT", T.DoubleType: "DOUBLE"}
 
 
-def present(df: DataFrame) -> DataFrame:
-    """Floats rounded to 6 decimals as double, timestamps as text."""
-    out = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            out.append(r6(f.name).alias(f.name))
-        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            out.append(F.date_format(f.name, "yyyy-MM-dd HH:mm:ss").alias(f.name))
-        else:
-            out.append(F.col(f.name))
-    return df.select(*out)
-
-
 def sql_present(cols: list[tuple[str, str]], src: str, extra: str = "") -> str:
     parts = []
     for name, kind in cols:
@@ -415,6 +402,33 @@ def q_column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(out)
 
 
+_CORR_PAIRS = [(a, b) for i, a in enumerate(_PROFILE_COLS) for b in _PROFILE_COLS[i + 1:]]
+_CORR_SQL = " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS c FROM train"
+    for a, b in _CORR_PAIRS)
+
+
+@register("column_correlation", f"""
+SELECT feature_a, feature_b, round(CASE WHEN isnan(c) THEN NULL ELSE c END, 6) AS corr FROM ({_CORR_SQL}) u
+""")
+def q_column_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return present(profile.column_correlation(_train(spark, sf_dir), _PROFILE_COLS))
+
+
+_TOP_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM train WHERE {c} IS NOT NULL" for c in _PROFILE_COLS)
+
+
+@register("top_values", f""",
+cnt AS (SELECT feature, value, count(*) AS count FROM ({_TOP_SQL}) u GROUP BY feature, value),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY feature ORDER BY count DESC, value ASC) AS INTEGER) AS rank FROM cnt)
+SELECT feature, round(value, 6) AS value, count, rank FROM rk WHERE rank <= 10
+""")
+def q_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = profile.top_values(_train(spark, sf_dir), _PROFILE_COLS, 10).withColumnRenamed("column", "feature")
+    return present(out)
+
+
 @register("column_profile_approx", None)
 def q_column_profile_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = profile.column_profile_approx(_train(spark, sf_dir), _PROFILE_COLS).withColumnRenamed("column", "feature")

@@ -142,3 +142,35 @@ def column_profile_approx(df: DataFrame, cols: list[str] | None = None, accuracy
         args += [F.lit(c), F.col(f"adistinct__{c}").cast("long"), F.col(f"q__{c}")[0], F.col(f"q__{c}")[1],
                  F.col(f"q__{c}")[2]]
     return wide.select(F.stack(F.lit(len(names)), *args).alias("column", "approx_distinct", "p25", "p50", "p75"))
+
+
+def column_correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Pearson correlation of every column pair over pairwise-complete rows.
+
+    Each row emits one (pair, x, y) entry per column pair and a single ``corr``
+    aggregate runs per pair: partial aggregation keeps one state per pair per task,
+    and the plan stays small however many columns there are.
+    """
+    names = cols or numeric_columns(df)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
+    # one generator expression built as SQL text (parsed once on the JVM side),
+    # grouped on an integer pair id; the names are attached to the 136-row result
+    items = ", ".join(f"named_struct('p', {i}, 'x', CAST(`{a}` AS DOUBLE), 'y', CAST(`{b}` AS DOUBLE))"
+                      for i, (a, b) in enumerate(pairs))
+    long = df.selectExpr(f"inline(array({items}))")
+    out = long.groupBy("p").agg(F.corr("x", "y").alias("corr"))
+    first = F.array(*[F.lit(a) for a, _ in pairs])
+    second = F.array(*[F.lit(b) for _, b in pairs])
+    return out.select(F.element_at(first, F.col("p") + 1).alias("feature_a"),
+                      F.element_at(second, F.col("p") + 1).alias("feature_b"),
+                      F.when(F.isnan("corr"), F.lit(None).cast("double")).otherwise(F.col("corr")).alias("corr"))
+
+
+def top_values(df: DataFrame, cols: list[str] | None = None, k: int = 10) -> DataFrame:
+    """The ``k`` most frequent non-null values of each column (ties: smaller value first)."""
+    names = cols or numeric_columns(df)
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+                                          for c in names])).alias("cv")).select("cv.column", "cv.value")
+    counts = pairs.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+    w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value").asc())
+    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
