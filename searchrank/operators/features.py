@@ -22,6 +22,7 @@ from ..schema import ITEM_COL, NON_FEATURE_COLUMNS, property_columns
 from ..sources.searchlog import apply_dtypes
 from .align import align_columns
 from .impute import mean_fill, median_fill
+from .skew import join_per_key
 
 DERIVED_SUFFIXES = ("_mean", "_median", "_std")
 
@@ -50,7 +51,7 @@ def property_stats(df: DataFrame, cols: list[str], mean: bool = True, median: bo
 def _combined_stat(train: DataFrame, test: DataFrame, cols: list[str], **flags) -> tuple[DataFrame, DataFrame]:
     a, b = align_columns(train, test)
     stats = property_stats(a.unionByName(b), cols, **flags)
-    return a.join(stats, ITEM_COL, "left"), stats
+    return join_per_key(a, stats, ITEM_COL, "left"), stats
 
 
 def add_mean_features(train: DataFrame, test: DataFrame, cols: list[str]) -> DataFrame:
@@ -81,8 +82,8 @@ def feature_engineering(train: DataFrame, test: DataFrame, fill_means: bool = Tr
     train, test = align_columns(train, test)
     if add_mean or add_median or add_std:
         stats = property_stats(train.unionByName(test), cols, add_mean, add_median, add_std)
-        train = train.join(stats, ITEM_COL, "left")
-        test = test.join(stats, ITEM_COL, "left")
+        train = join_per_key(train, stats, ITEM_COL, "left")
+        test = join_per_key(test, stats, ITEM_COL, "left")
     return train, test
 
 

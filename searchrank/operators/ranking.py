@@ -23,11 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import GROUP_COL
+from .skew import DEFAULT_HOT_ROWS  # groups above this are ranked by the distributed path
 
 DEFAULT_TIEBREAK = ("prop_id", "price_usd")
-# Groups above this many rows are ranked by the distributed path (one range
-# partition of rows per task instead of the whole group in one task).
-DEFAULT_HOT_ROWS = 1_000_000
 
 
 def order_spec(score: str | Column, descending: bool = True,

@@ -1,24 +1,36 @@
-"""Hot-key detection and splitting.
+"""Hot-key detection, splitting, and skew-safe joins to per-key tables.
 
-A search (or property) may hold a large share of all rows.  Operators that need a
-whole group in one place (full ranking) send such groups down a separate,
-distributed path.  The hot-key table is bounded: at most ``rows / threshold``
-keys, and its size is counted before it is broadcast.
+A search (or property) may hold a large share of all rows.  Two tools keep such a
+key from landing in one task:
+
+* :func:`split_by_keys` separates the rows of hot keys so an operator can send
+  them down a distributed path (full ranking does this);
+* :func:`join_per_key` joins a fact table to a table with one row per key (group
+  statistics, biases, id maps).  Rows of hot keys are joined map-side against a
+  broadcast of *only the hot keys' rows* of the per-key table (at most
+  ``rows / threshold`` of them, counted before broadcast); all other rows take the
+  ordinary join that Spark plans.  The hot rows are never shuffled on the key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# A key with more rows than this is "hot": more than one task should handle it.
+DEFAULT_HOT_ROWS = 1_000_000
 # A broadcast hot-key list is allowed up to this many keys; beyond it the split
 # uses shuffle joins instead.
 MAX_BROADCAST_KEYS = 1_000_000
 
 
-def hot_keys(df: DataFrame, key: str, threshold: int) -> DataFrame:
+def hot_keys(df: DataFrame, key: str | Sequence[str], threshold: int) -> DataFrame:
     """Keys with more than ``threshold`` rows (partial aggregation, skew-safe)."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > threshold).select(key)
+    keys = [key] if isinstance(key, str) else list(key)
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+            .where(F.col("_rows") > threshold).select(*keys))
 
 
 def split_by_keys(df: DataFrame, keys: DataFrame, key: str, n: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -27,3 +39,27 @@ def split_by_keys(df: DataFrame, keys: DataFrame, key: str, n: int | None = None
     n = keys.count() if n is None else n
     side = F.broadcast(keys) if n <= MAX_BROADCAST_KEYS else keys
     return df.join(side, key, "left_anti"), df.join(side, key, "left_semi")
+
+
+def join_per_key(big: DataFrame, per_key: DataFrame, key: str, how: str = "left",
+                 threshold: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
+    """``big.join(per_key, key, how)`` where ``per_key`` has at most one row per key.
+
+    With ``threshold=None`` this is the plain join.  Otherwise hot keys of ``big``
+    are found first; if there are none the plain join is returned.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError("how must be 'left' or 'inner'")
+    if threshold is None:
+        return big.join(per_key, key, how)
+    hot = hot_keys(big, key, threshold).cache()
+    n_hot = hot.count()
+    if n_hot == 0:
+        hot.unpersist()
+        return big.join(per_key, key, how)
+    if n_hot > MAX_BROADCAST_KEYS:
+        # too many hot keys to broadcast their rows: rely on AQE skew-join splitting
+        return big.join(per_key, key, how)
+    normal, heavy = split_by_keys(big, hot, key, n_hot)
+    hot_rows = per_key.join(F.broadcast(hot), key, "left_semi")  # at most n_hot rows
+    return normal.join(per_key, key, how).unionByName(heavy.join(F.broadcast(hot_rows), key, how))
