@@ -88,10 +88,8 @@ def _rank_hot_groups(df: DataFrame, order: Sequence[Column], group: str, rank_co
     """
     from ..session import cut_lineage
 
-    spark = df.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [F.col(group).asc(), *order]
-    parted = df.repartitionByRange(n_parts, *sort_cols).withColumn("_pid", F.spark_partition_id())
+    parted = df.repartitionByRange(*sort_cols).withColumn("_pid", F.spark_partition_id())
     parted = cut_lineage(parted)
     counts = parted.groupBy("_pid", group).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,7 +11,9 @@ non-null values of a column:
 4. only those partitions get a running count, and one row per rank is returned.
 
 Memory per task is bounded by one range partition of distinct values; the driver
-only sees one row per partition and one row per requested rank.
+only sees one row per partition and one row per requested rank.  Range partitions
+carry no fixed count, so AQE sizes them from the data; partition ids are read after
+that and fixed by the checkpoint.
 """
 
 from __future__ import annotations
@@ -25,10 +27,6 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def values_at_ranks(df: DataFrame, col: str, ranks: Sequence[int]) -> tuple[int, list[float | None]]:
     """(number of non-null values, value at each 0-based rank) for one column."""
     counts, values = values_at_ranks_multi(df, {col: list(ranks)})
@@ -47,7 +45,7 @@ def values_at_ranks_multi(df: DataFrame, wanted_ranks: dict[str, list[int]]
         F.struct(F.lit(i).alias("_k"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)
     ])).alias("_kv")).select("_kv._k", "_kv._v")
     hist = pairs.where(F.col("_v").isNotNull()).groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    parted = cut_lineage(hist.repartitionByRange(_partitions(df), "_k", "_v")
+    parted = cut_lineage(hist.repartitionByRange("_k", "_v")
                          .withColumn("_pid", F.spark_partition_id()))
     totals = parted.groupBy("_pid", "_k").agg(F.sum("_c").alias("_n")).collect()
     per_col: dict[int, list[tuple[int, int]]] = {}
@@ -133,7 +131,7 @@ def dense_index(df: DataFrame, col: str, name: str = "idx") -> DataFrame:
     """
     spark = df.sparkSession
     keys = df.select(col).where(F.col(col).isNotNull()).distinct()
-    parted = cut_lineage(keys.repartitionByRange(_partitions(df), col).withColumn("_pid", F.spark_partition_id()))
+    parted = cut_lineage(keys.repartitionByRange(col).withColumn("_pid", F.spark_partition_id()))
     counts = sorted((r["_pid"], r["count"]) for r in parted.groupBy("_pid").count().collect())
     offsets, acc = [], 0
     for pid, cnt in counts:
