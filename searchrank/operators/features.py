@@ -22,7 +22,7 @@ from ..schema import ITEM_COL, NON_FEATURE_COLUMNS, property_columns
 from ..sources.searchlog import apply_dtypes
 from .align import align_columns
 from .impute import mean_fill, median_fill
-from .skew import join_per_key
+from .skew import find_hot, join_per_key
 
 DERIVED_SUFFIXES = ("_mean", "_median", "_std")
 
@@ -75,15 +75,17 @@ def feature_engineering(train: DataFrame, test: DataFrame, fill_means: bool = Tr
         train = apply_dtypes(train, is_train=True)
         test = apply_dtypes(test, is_train=False)
     cols = agg_columns if agg_columns is not None else base_property_columns(train)
+    # imputation keeps every row and key: hot properties are found once per set
+    hot_tr, hot_te = find_hot(train, ITEM_COL), find_hot(test, ITEM_COL)
     if fill_means:
-        train, test = mean_fill(train, cols), mean_fill(test, cols)
+        train, test = mean_fill(train, cols, hot=hot_tr), mean_fill(test, cols, hot=hot_te)
     if fill_medians:
-        train, test = median_fill(train, cols), median_fill(test, cols)
+        train, test = median_fill(train, cols, hot=hot_tr), median_fill(test, cols, hot=hot_te)
     train, test = align_columns(train, test)
     if add_mean or add_median or add_std:
         stats = property_stats(train.unionByName(test), cols, add_mean, add_median, add_std)
-        train = join_per_key(train, stats, ITEM_COL, "left")
-        test = join_per_key(test, stats, ITEM_COL, "left")
+        train = join_per_key(train, stats, ITEM_COL, "left", hot=hot_tr)
+        test = join_per_key(test, stats, ITEM_COL, "left", hot=hot_te)
     return train, test
 
 

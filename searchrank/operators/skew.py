@@ -15,6 +15,7 @@ key from landing in one task:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,25 +42,44 @@ def split_by_keys(df: DataFrame, keys: DataFrame, key: str, n: int | None = None
     return df.join(side, key, "left_anti"), df.join(side, key, "left_semi")
 
 
+@dataclass
+class HotKeys:
+    """Keys of a table with more than ``threshold`` rows, and how many there are."""
+    keys: DataFrame
+    count: int
+
+
+def find_hot(df: DataFrame, key: str, threshold: int = DEFAULT_HOT_ROWS) -> HotKeys:
+    """One partial-aggregate pass over the key column.
+
+    A left join to a per-key table keeps every row and key, so the hot keys of the
+    input are those of the output: compute them once and pass them along a chain.
+    """
+    hot = hot_keys(df, key, threshold).cache()
+    n = hot.count()
+    if n == 0:
+        hot.unpersist()
+    return HotKeys(hot, n)
+
+
 def join_per_key(big: DataFrame, per_key: DataFrame, key: str, how: str = "left",
-                 threshold: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
+                 threshold: int | None = DEFAULT_HOT_ROWS, hot: HotKeys | None = None) -> DataFrame:
     """``big.join(per_key, key, how)`` where ``per_key`` has at most one row per key.
 
-    With ``threshold=None`` this is the plain join.  Otherwise hot keys of ``big``
-    are found first; if there are none the plain join is returned.
+    ``hot`` passes hot keys found earlier (see :func:`find_hot`); otherwise they are
+    found on ``big``.  With ``threshold=None`` and no ``hot`` this is the plain join.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
-    if threshold is None:
-        return big.join(per_key, key, how)
-    hot = hot_keys(big, key, threshold).cache()
-    n_hot = hot.count()
-    if n_hot == 0:
-        hot.unpersist()
+    if hot is None:
+        if threshold is None:
+            return big.join(per_key, key, how)
+        hot = find_hot(big, key, threshold)
+    if hot.count == 0:
         return big.join(per_key, key, how)
-    if n_hot > MAX_BROADCAST_KEYS:
+    if hot.count > MAX_BROADCAST_KEYS:
         # too many hot keys to broadcast their rows: rely on AQE skew-join splitting
         return big.join(per_key, key, how)
-    normal, heavy = split_by_keys(big, hot, key, n_hot)
-    hot_rows = per_key.join(F.broadcast(hot), key, "left_semi")  # at most n_hot rows
+    normal, heavy = split_by_keys(big, hot.keys, key, hot.count)
+    hot_rows = per_key.join(F.broadcast(hot.keys), key, "left_semi")  # at most hot.count rows
     return normal.join(per_key, key, how).unionByName(heavy.join(F.broadcast(hot_rows), key, how))
