@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import mf, split
+from ..sources import model_store
 from ..sources.sinks import generate_submission, read_processed, write_processed
 
 
@@ -15,7 +16,9 @@ def make_dataset(train: DataFrame, test: DataFrame, out_dir: str) -> tuple[str,
     return write_processed(ratings, f"{out}/ratings"), write_processed(pairs, f"{out}/test_pairs")
 
 
-def train(spark: SparkSession, ratings_path: str, tune: bool = False, **params) -> tuple[mf.MFModel, DataFrame]:
+def train(spark: SparkSession, ratings_path: str, tune: bool = False, model_dir: str | None = None,
+          **params) -> tuple[mf.MFModel, DataFrame]:
+    """Fit on 80% of the rating rows, report RMSE/MAE on the rest, optionally save."""
     ratings = read_processed(spark, ratings_path)
     if tune:
         grid = mf.tune_mf(ratings)
@@ -23,9 +26,18 @@ def train(spark: SparkSession, ratings_path: str, tune: bool = False, **params)
         params = {"rank": best["rank"], "max_iter": best["max_iter"], "reg": best["reg_param"]}
     fit, held = split.random_split(ratings, 20, 42)
     model = mf.fit_mf(fit, **params)
+    if model_dir:
+        model_store.save_mf_model(model, f"{model_dir.rstrip('/')}/{model_store.model_name('svd_model')}")
     return model, mf.rating_error(mf.predict_mf(model, held))
 
 
-def predict(spark: SparkSession, model: mf.MFModel, pairs_path: str, out_dir: str) -> str:
+def predict(spark: SparkSession, model: mf.MFModel | None, pairs_path: str, out_dir: str,
+            model_dir: str | None = None) -> str:
+    """Rank test pairs; without a model, the newest one saved under ``model_dir`` is used."""
+    if model is None:
+        path = model_store.newest_model(spark, model_dir, "svd_model") if model_dir else None
+        if path is None:
+            raise FileNotFoundError(f"no saved model under {model_dir}")
+        model = model_store.load_mf_model(spark, path)
     pairs = read_processed(spark, pairs_path)
     return generate_submission(mf.predict_mf(model, pairs), "prediction", out_dir)

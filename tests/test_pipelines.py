@@ -34,10 +34,11 @@ def test_feature_and_ltr_pipelines(spark, scratch):
 def test_mf_pipeline(spark, scratch):
     paths = mf_pipeline.make_dataset(fixture.train_log(spark, SF_SMALL), fixture.test_log(spark, SF_SMALL),
                                      os.path.join(scratch, "mf"))
-    model, err = mf_pipeline.train(spark, paths[0], rank=5, max_iter=5, reg=0.1)
+    model_dir = os.path.join(scratch, "models")
+    model, err = mf_pipeline.train(spark, paths[0], model_dir=model_dir, rank=5, max_iter=5, reg=0.1)
     e = err.first()
     assert e["rmse"] >= e["mae"] >= 0
-    out = mf_pipeline.predict(spark, model, paths[1], os.path.join(scratch, "mf_sub"))
+    out = mf_pipeline.predict(spark, None, paths[1], os.path.join(scratch, "mf_sub"), model_dir=model_dir)
     assert spark.read.option("header", True).csv(out).count() == spark.read.parquet(paths[1]).count()
 
 
