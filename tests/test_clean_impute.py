@@ -69,3 +69,13 @@ def test_dense_index_is_contiguous(spark):
     df = spark.createDataFrame([(i,) for i in ids], "srch_id long")
     idx = selection.dense_index(df, "srch_id", "uidx").orderBy("srch_id").collect()
     assert [r["uidx"] for r in idx] == list(range(300))
+
+
+def test_iqr_bound_is_pushed_to_parquet_scan(spark, scratch):
+    path = f"{scratch}/prices"
+    spark.range(1000).selectExpr("id AS srch_id", "CAST(id % 97 AS DOUBLE) AS price_usd", "id AS other") \
+        .write.parquet(path)
+    kept = clean.iqr_filter(spark.read.parquet(path), "price_usd").select("srch_id", "price_usd")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(price_usd" in plan          # bound reaches the scan as a pushed filter
+    assert "other" not in plan.split("ReadSchema")[1].split("\n")[0]  # pruned column
