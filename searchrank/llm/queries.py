@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, shared_path
-from . import bpe, common, line_dedup, token_files, url_rules
+from . import bpe, common, decontam, line_dedup, ngram_join, span_dedup, token_files, url_rules
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -38,6 +38,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@register("op2_ngram_join")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.jaccard_components(common.read_table(spark, sf_dir, "documents"), n=3, percent=90)
+    return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
+
+
 @register("op5_token_files")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
@@ -47,6 +53,40 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+LOWER_SQL = f"translate({{}}, '{common.UPPER}', '{common.LOWER}')"
+NON_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+@register("op6_decontamination", f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '{NON_ALNUM}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '{NON_ALNUM}') AS w FROM benchmark),
+bw AS (SELECT item_id, least(13, len(w)) AS k, unnest(range(1, greatest(len(w) - 12, least(1, len(w))) + 1)) AS i, w FROM b),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS t FROM bw),
+ks AS (SELECT DISTINCT k FROM win),
+dw AS (SELECT doc_id, k, w, unnest(range(1, greatest(len(w) - k + 1, 0) + 1)) AS p FROM d, ks),
+hit AS (SELECT dw.doc_id, dw.p, dw.k, win.item_id FROM dw JOIN win ON dw.k = win.k AND array_to_string(dw.w[dw.p:dw.p + dw.k - 1], ' ') = win.t),
+pos AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(p, p + k)) AS x FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+        FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(pos.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items,
+       sha256(coalesce(its.ids, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AND 20 * coalesce(pos.n, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
+""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    out = decontam.decontaminate(common.read_table(spark, sf_dir, "documents"), common.read_table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+                      ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+@register("op9_span_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = span_dedup.dedup_spans(common.read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_sentences", "n_shared", "n_removed", "n_removed_words", "first_docs",
+                      F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 # Rules of the url contract.
 URL_RULES = [
     ("allow", "org", "/"),
@@ -56,9 +96,6 @@ URL_RULES = [
     ("block", "com", "/de/"),
 ]
 
-LOWER_SQL = f"translate({{}}, '{common.UPPER}', '{common.LOWER}')"
-
-
 @register("op7_line_dedup", f"""
 WITH lines AS (
   SELECT doc_id, i, lines[i] AS line, {LOWER_SQL.format("trim(lines[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key
