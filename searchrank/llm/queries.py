@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, shared_path
-from . import bpe, common, decontam, line_dedup, ngram_join, span_dedup, token_files, url_rules
+from . import (bpe, common, decontam, importance, kn_quality, line_dedup, ngram_join, secret_scan, span_dedup, token_files,
+               url_rules)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -44,6 +45,23 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
 
 
+@register("op3_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return importance.judge(common.read_table(spark, sf_dir, "documents"), common.read_table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+@register("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = secret_scan.scan(common.read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                           public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+                      "spans", "n_random")
+
+
 @register("op5_token_files")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
@@ -80,6 +98,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
                       ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
+@register("op8_quality_classifier")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    docs = common.read_table(spark, sf_dir, "documents")
+    return kn_quality.classify(docs, common.read_table(spark, sf_dir, "labels")).select(
+        "doc_id", "lang", F.round("perplexity", 4).alias("perplexity"), F.round("threshold", 4).alias("threshold"), "kept")
+
+
 @register("op9_span_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = span_dedup.dedup_spans(common.read_table(spark, sf_dir, "documents"))
