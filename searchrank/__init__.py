@@ -2,7 +2,7 @@
 
 Subpackages: ``sources`` (readers, writers, fixture view), ``functions`` (column
 expressions), ``operators`` (DataFrame -> DataFrame transformations, metrics and
-models), ``plans`` (end-to-end pipelines), ``streaming`` (incremental scoring).
+models), ``plans`` (end-to-end pipelines).
 """
 
 __version__ = "0.1.0"

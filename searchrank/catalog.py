@@ -1,7 +1,8 @@
 """Registered queries: name -> (Spark builder, DuckDB oracle SQL or None).
 
-Each builder takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the whole
-search log derived from the driver tables (see :mod:`searchrank.sources.fixture`).
+Each builder takes ``(spark, sf_dir)`` and returns a DataFrame over the whole
+search log derived from the driver tables (see :mod:`searchrank.sources.fixture`);
+queries with a fit, a written table or order statistics run jobs while they are built.
 Floating outputs are rounded to 6 decimals on both sides so that summation order
 does not matter; every output column is aliased to the same name in the SQL.
 """
@@ -54,8 +55,8 @@ def present(df: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- R1, R2
 @register("rank_candidates", """
 SELECT srch_id, prop_id, round(price_usd, 6) AS price_usd,
-       CAST(row_number() OVER (PARTITION BY srch_id
-            ORDER BY price_usd ASC NULLS LAST, prop_id ASC NULLS LAST, price_usd ASC NULLS LAST) AS INTEGER) AS rank
+       row_number() OVER (PARTITION BY srch_id
+            ORDER BY price_usd ASC NULLS LAST, prop_id ASC NULLS LAST, price_usd ASC NULLS LAST) AS rank
 FROM log
 """)
 def q_rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +145,18 @@ def q_baseline_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.baseline_ndcg(log, "prop_starrating", "desc", K).select(r6("ndcg").alias("ndcg"))
 
 
+@register("baseline_price_desc", _tie_sql("price_usd"))
+def q_baseline_price_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = fixture.search_log(spark, sf_dir)
+    return metrics.baseline_ndcg(log, "price_usd", "desc", K).select(r6("ndcg").alias("ndcg"))
+
+
+@register("baseline_rating_asc", _tie_sql("-prop_starrating"))
+def q_baseline_rating_asc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = fixture.search_log(spark, sf_dir)
+    return metrics.baseline_ndcg(log, "prop_starrating", "asc", K).select(r6("ndcg").alias("ndcg"))
+
+
 @register("ndcg_binary", """,
 pr AS (SELECT srch_id, prop_id, row_number() OVER (PARTITION BY srch_id
          ORDER BY prop_location_score2 DESC NULLS LAST, prop_id ASC NULLS LAST, price_usd ASC NULLS LAST) AS r FROM log),

@@ -5,7 +5,7 @@ Spark side uses, so both sides always name and type the same columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,14 +74,27 @@ def q_read_search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(searchlog.read_search_log(spark, path, is_train=True))
 
 
+# Values that do not fit their type, planted over the whole log: column -> (condition, text).
+_PLANTED = {
+    "site_id": ("srch_id % 7 = 0", "300"),
+    "position": ("srch_id % 11 = 0", "3.7"),
+    "prop_starrating": ("srch_id % 13 = 0", "NULL"),
+    "date_time": ("srch_id % 17 = 0", "2013-02-31 10:00:00"),
+    "price_usd": ("srch_id % 19 = 0", "NaN"),
+}
+
+
 @register("typed_cast", f""",
-t AS ({sql_typed('test', TEST_COLS, False)})
-{sql_present(typed_kinds(TEST_COLS), 't')}
+planted AS (SELECT * REPLACE ({', '.join(f"CASE WHEN {cond} THEN NULL ELSE {c} END AS {c}" for c, (cond, _) in _PLANTED.items())}) FROM log),
+t AS ({sql_typed('planted', TRAIN_COLS, True)})
+{sql_present(typed_kinds(TRAIN_COLS), 't')}
 """)
 def q_typed_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    test = _test(spark, sf_dir)
-    as_text = test.select(*[F.col(c).cast("string").alias(c) for c in test.columns])
-    return present(searchlog.apply_dtypes(as_text, is_train=False))
+    log = fixture.search_log(spark, sf_dir)
+    text = log.select(*[
+        F.when(F.expr(_PLANTED[c][0]), F.lit(_PLANTED[c][1])).otherwise(F.col(c).cast("string")).alias(c) if c in _PLANTED
+        else F.col(c).cast("string").alias(c) for c in log.columns])
+    return present(searchlog.apply_dtypes(text, is_train=True))
 
 
 # ----------------------------------------------------------------- U1, U2
@@ -436,7 +449,14 @@ def q_column_profile_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ----------------------------------------------------------------- M1, M2
-@register("random_split", None)
+def _md5_bucket_sql(key: str, buckets: int) -> str:
+    return f"(CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) % {buckets})"
+
+
+@register("random_split", f"""
+SELECT srch_id, prop_id, CASE WHEN booking_bool = 1 THEN 5 WHEN click_bool = 1 THEN 1 ELSE 0 END AS rating
+FROM train WHERE {_md5_bucket_sql("'42|' || srch_id || '|' || prop_id", 100)} < 20
+""")
 def q_random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _train(spark, sf_dir).select("srch_id", "prop_id", graded_label().alias("rating"))
     _, held_out = split.random_split(t, 20, 42)
@@ -452,14 +472,28 @@ def q_group_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("fold").agg(F.count_distinct("srch_id").alias("searches"), F.count(F.lit(1)).alias("n_rows"))
 
 
+@register("group_kfold_hash", f"""
+SELECT CAST({_md5_bucket_sql("CAST(srch_id AS VARCHAR)", 5)} AS INTEGER) AS fold, count(DISTINCT srch_id) AS searches, count(*) AS n_rows
+FROM train GROUP BY 1
+""")
+def q_group_kfold_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _train(spark, sf_dir).withColumn("fold", split.group_fold(5))
+    return t.groupBy("fold").agg(F.count_distinct("srch_id").alias("searches"), F.count(F.lit(1)).alias("n_rows"))
+
+
 # ----------------------------------------------------------------- S7-S9, M10
+# ``rank`` is the pair's place among its search's lines in the written file.
 @register("submission", """
-SELECT srch_id, prop_id FROM test
+SELECT srch_id, prop_id, row_number() OVER (PARTITION BY srch_id
+       ORDER BY price_usd ASC NULLS LAST, prop_id ASC, price_usd ASC) AS rank FROM test
 """)
 def q_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = _test(spark, sf_dir).withColumn("pred", -F.col("price_usd"))
     path = sinks.generate_submission(test, "pred", shared_path(spark, "submissions"))
-    return sinks.read_submission(spark, path)
+    lines = sinks.read_submission(spark, path).withColumns({
+        "_file": F.col("_metadata.file_name"), "_block": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()})
+    place = Window.partitionBy("srch_id").orderBy("_file", "_block", "_line")
+    return lines.select("srch_id", "prop_id", F.row_number().over(place).cast("long").alias("rank"))
 
 
 def _tie_scalar(score_expr: str, source: str) -> str:
@@ -505,5 +539,6 @@ def q_metrics_row(spark: SparkSession, sf_dir: str) -> DataFrame:
         "price_baseline": metrics.baseline_ndcg(val, "price_usd", "asc", K),
         "rating_baseline": metrics.baseline_ndcg(val, "prop_starrating", "desc", K),
     })
-    sinks.log_evaluation_summary(row, shared_path(spark, "metrics_log"))
-    return present(row)
+    path = shared_path(spark, "metrics_log")
+    sinks.log_evaluation_summary(row, path)
+    return present(sinks.read_evaluation_summary(spark, path, row.columns))

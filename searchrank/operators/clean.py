@@ -46,8 +46,9 @@ def iqr_filter(df: DataFrame, col: str = "price_usd", bounds: IqrBounds | None =
 
 
 def fill_zero(df: DataFrame, cols: list[str] | tuple[str, ...] = ("prop_review_score",)) -> DataFrame:
-    present = [c for c in cols if c in df.columns]
-    return df.fillna(0, subset=present)
+    """NULL becomes 0; NaN is a value and stays."""
+    zero = {c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)) for c in cols if c in df.columns}
+    return df.withColumns(zero) if zero else df
 
 
 def data_cleaning(df: DataFrame, col: str = "price_usd") -> DataFrame:

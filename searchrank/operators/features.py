@@ -3,14 +3,12 @@
 ``feature_engineering`` follows the original order of work: type both sets,
 impute each set on its own, align and concatenate them, compute per-property
 statistics over the combined, already imputed values, and attach them to both
-sets with a left join on ``prop_id``.  All statistics come from a single
-``groupBy(prop_id)`` that both joins share.
+sets with a left join on ``prop_id``.
 
 Scale: the aggregate has one row per property.  Spark broadcasts it when its
 estimated size is under ``spark.sql.autoBroadcastJoinThreshold`` and otherwise
-runs a sort-merge join (AQE splits a skewed property).  Exact medians keep a
-value -> count map per property; property attributes have few distinct values
-per property, so that map stays small.
+runs a sort-merge join (AQE splits a skewed property).  Exact medians come from a
+range-partitioned histogram, so no task holds all values of a property.
 """
 
 from __future__ import annotations
@@ -22,6 +20,7 @@ from ..schema import ITEM_COL, NON_FEATURE_COLUMNS, property_columns
 from ..sources.searchlog import apply_dtypes
 from .align import align_columns
 from .impute import mean_fill, median_fill
+from .selection import group_medians
 from .skew import find_hot, join_per_key
 
 DERIVED_SUFFIXES = ("_mean", "_median", "_std")
@@ -32,20 +31,22 @@ def base_property_columns(df: DataFrame) -> list[str]:
     return [c for c in property_columns(df.columns) if not c.endswith(DERIVED_SUFFIXES)]
 
 
-def _stat_exprs(cols: list[str], mean: bool, median: bool, std: bool) -> list[Column]:
+def property_stats(df: DataFrame, cols: list[str], mean: bool = True, median: bool = True,
+                   std: bool = True, key: str = ITEM_COL) -> DataFrame:
+    """One row per property: means and deviations by one aggregate, exact medians by histogram."""
     exprs: list[Column] = []
     if mean:
         exprs += [F.avg(F.col(c).cast("double")).alias(f"{c}_mean") for c in cols]
-    if median:
-        exprs += [F.median(F.col(c).cast("double")).alias(f"{c}_median") for c in cols]
     if std:
         exprs += [F.stddev_samp(F.col(c).cast("double")).alias(f"{c}_std") for c in cols]
-    return exprs
-
-
-def property_stats(df: DataFrame, cols: list[str], mean: bool = True, median: bool = True,
-                   std: bool = True, key: str = ITEM_COL) -> DataFrame:
-    return df.groupBy(key).agg(*_stat_exprs(cols, mean, median, std))
+    medians = group_medians(df, key, cols, [f"{c}_median" for c in cols]) if median else None
+    if not exprs:
+        return medians
+    stats = df.groupBy(key).agg(*exprs)
+    if medians is None:
+        return stats
+    names = [key] + [f"{c}_{s}" for s, on in (("mean", mean), ("median", median), ("std", std)) if on for c in cols]
+    return stats.join(medians, key, "left").select(*names)
 
 
 def _combined_stat(train: DataFrame, test: DataFrame, cols: list[str], **flags) -> tuple[DataFrame, DataFrame]:

@@ -18,7 +18,8 @@ NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Do
 
 
 def _pct(part, whole):
-    return F.bround(part.cast("double") / whole.cast("double") * F.lit(100.0), 2)
+    """Percentage; NULL when there is nothing to divide by."""
+    return F.bround(F.try_divide(part.cast("double"), whole.cast("double")) * F.lit(100.0), 2)
 
 
 def _stacked(agg: DataFrame, names: list[str], prefix: str, value_name: str) -> DataFrame:
@@ -91,6 +92,9 @@ def run_all_analyses(df: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+CORR_AT_ONCE = 34
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
 
@@ -147,23 +151,20 @@ def column_profile_approx(df: DataFrame, cols: list[str] | None = None, accuracy
 def column_correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every column pair over pairwise-complete rows.
 
-    Each row emits one (pair, x, y) entry per column pair and a single ``corr``
-    aggregate runs per pair: partial aggregation keeps one state per pair per task,
-    and the plan stays small however many columns there are.
+    Wide aggregates of ``corr`` without any row expansion: a task sends one row of
+    states per aggregate.  ``CORR_AT_ONCE`` pairs share an aggregate, which keeps the
+    generated code of one aggregate small however many columns there are.
     """
     names = cols or numeric_columns(df)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    # one generator expression built as SQL text (parsed once on the JVM side),
-    # grouped on an integer pair id; the names are attached to the 136-row result
-    items = ", ".join(f"named_struct('p', {i}, 'x', CAST(`{a}` AS DOUBLE), 'y', CAST(`{b}` AS DOUBLE))"
-                      for i, (a, b) in enumerate(pairs))
-    long = df.selectExpr(f"inline(array({items}))")
-    out = long.groupBy("p").agg(F.corr("x", "y").alias("corr"))
-    first = F.array(*[F.lit(a) for a, _ in pairs])
-    second = F.array(*[F.lit(b) for _, b in pairs])
-    return out.select(F.element_at(first, F.col("p") + 1).alias("feature_a"),
-                      F.element_at(second, F.col("p") + 1).alias("feature_b"),
-                      F.when(F.isnan("corr"), F.lit(None).cast("double")).otherwise(F.col("corr")).alias("corr"))
+    out = None
+    for at in range(0, len(pairs), CORR_AT_ONCE):
+        part = pairs[at:at + CORR_AT_ONCE]
+        wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(part)])
+        args = [x for i, (a, b) in enumerate(part) for x in (F.lit(a), F.lit(b), F.col(f"c{i}"))]
+        long = wide.select(F.stack(F.lit(len(part)), *args).alias("feature_a", "feature_b", "corr"))
+        out = long if out is None else out.unionByName(long)
+    return out.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
 
 
 def top_values(df: DataFrame, cols: list[str] | None = None, k: int = 10) -> DataFrame:

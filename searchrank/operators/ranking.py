@@ -53,22 +53,20 @@ def rank_within(df: DataFrame, order: Sequence[Column], group: str = GROUP_COL,
     """
     w = Window.partitionBy(group).orderBy(*order)
     if hot_threshold is None:
-        return df.withColumn(rank_col, F.row_number().over(w))
+        return df.withColumn(rank_col, F.row_number().over(w).cast("long"))
     return _rank_split_hot(df, order, group, rank_col, hot_threshold)
 
 
 def _rank_split_hot(df: DataFrame, order: Sequence[Column], group: str, rank_col: str,
                     hot_threshold: int) -> DataFrame:
-    from .skew import hot_keys, split_by_keys
+    from .skew import find_hot, split_by_keys
 
-    hot = hot_keys(df, group, hot_threshold).cache()
+    hot = find_hot(df, group, hot_threshold)
     w = Window.partitionBy(group).orderBy(*order)
-    n_hot = hot.count()
-    if n_hot == 0:
-        hot.unpersist()
-        return df.withColumn(rank_col, F.row_number().over(w))
-    normal, heavy = split_by_keys(df, hot, group, n_hot)
-    ranked_normal = normal.withColumn(rank_col, F.row_number().over(w))
+    if not hot.count and not hot.null:
+        return df.withColumn(rank_col, F.row_number().over(w).cast("long"))
+    normal, heavy = split_by_keys(df, hot, group)
+    ranked_normal = normal.withColumn(rank_col, F.row_number().over(w).cast("long"))
     ranked_heavy = _rank_hot_groups(heavy, order, group, rank_col)
     return ranked_normal.unionByName(ranked_heavy)
 
@@ -96,7 +94,9 @@ def _rank_hot_groups(df: DataFrame, order: Sequence[Column], group: str, rank_co
     offsets = counts.select("_pid", group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     local = Window.partitionBy("_pid", group).orderBy(*order)
     ranked = parted.withColumn("_local", F.row_number().over(local))
-    # offsets has at most (partitions + hot groups) rows: a bounded broadcast.
-    return (ranked.join(F.broadcast(offsets), ["_pid", group])
-            .withColumn(rank_col, (F.col("_offset") + F.col("_local")).cast("int"))
-            .drop("_pid", "_local", "_offset"))
+    # offsets has at most (partitions + hot groups) rows; a NULL group is a group like any other
+    offsets = offsets.select(F.col("_pid").alias("_opid"), F.col(group).alias("_ogroup"), "_offset")
+    match = (ranked["_pid"] == offsets["_opid"]) & ranked[group].eqNullSafe(offsets["_ogroup"])
+    return (ranked.join(offsets, match)
+            .withColumn(rank_col, (F.col("_offset") + F.col("_local")).cast("long"))
+            .drop("_pid", "_local", "_offset", "_opid", "_ogroup"))

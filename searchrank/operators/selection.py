@@ -122,6 +122,38 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]
     return out
 
 
+def group_medians(df: DataFrame, key: str, cols: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """``(key, *names)``: exact median of every column per key, without a value map per key.
+
+    1. Histogram ``(key, column, value) -> count``, combined before the shuffle.
+    2. Range partitions of the histogram: a key with very many distinct values is cut over
+       several of them.  Checkpointed, so that partition ids are stable.
+    3. Running counts inside each partition, plus the group's count in earlier partitions, place
+       every value; the values at the two middle ranks are averaged.
+
+    Rows with a NULL key are left out (they match nothing in a join).
+    """
+    pairs = df.where(F.col(key).isNotNull()).select(key, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_k"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)
+    ])).alias("_kv")).select(key, "_kv._k", "_kv._v")
+    hist = pairs.where(F.col("_v").isNotNull()).groupBy(key, "_k", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    parted = cut_lineage(hist.repartitionByRange(key, "_k", "_v").withColumn("_pid", F.spark_partition_id()))
+    runs = parted.groupBy(key, "_k", "_pid").agg(F.sum("_c").alias("_n"))
+    group = Window.partitionBy(key, "_k")
+    before = group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(key, "_k", "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+                       F.sum("_n").over(group).alias("_total"))
+    local = Window.partitionBy(key, "_k", "_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = (parted.withColumn("_cum", F.sum("_c").over(local)).join(runs, [key, "_k", "_pid"])
+              .withColumn("_to", F.col("_before") + F.col("_cum")).withColumn("_from", F.col("_to") - F.col("_c")))
+    low, high = F.expr("(_total - 1) div 2"), F.expr("_total div 2")
+    at_low = (F.col("_from") <= low) & (low < F.col("_to"))
+    at_high = (F.col("_from") <= high) & (high < F.col("_to"))
+    middle = (placed.where(at_low | at_high).groupBy(key, "_k")
+              .agg(((F.max(F.when(at_low, F.col("_v"))) + F.max(F.when(at_high, F.col("_v")))) / 2).alias("_m")))
+    return middle.groupBy(key).agg(*[F.max(F.when(F.col("_k") == i, F.col("_m"))).alias(n) for i, n in enumerate(names)])
+
+
 def dense_index(df: DataFrame, col: str, name: str = "idx") -> DataFrame:
     """(value, 0-based dense index in value order) for each distinct value of ``col``.
 
@@ -137,6 +169,8 @@ def dense_index(df: DataFrame, col: str, name: str = "idx") -> DataFrame:
     for pid, cnt in counts:
         offsets.append((pid, acc))
         acc += cnt
+    if acc > 2**31 - 1:
+        raise ValueError(f"{acc} distinct values of {col}; int indexes (a limit of MLlib's ALS) end at 2**31 - 1")
     off = spark.createDataFrame(offsets, "_pid int, _offset long")
     w = Window.partitionBy("_pid").orderBy(col)
     # one row per partition: a bounded broadcast

@@ -27,6 +27,10 @@ DEFAULT_HOT_ROWS = 1_000_000
 MAX_BROADCAST_KEYS = 1_000_000
 
 
+# Parts a hot key is cut into when there are too many hot keys to broadcast.
+SALTS = 32
+
+
 def hot_keys(df: DataFrame, key: str | Sequence[str], threshold: int) -> DataFrame:
     """Keys with more than ``threshold`` rows (partial aggregation, skew-safe)."""
     keys = [key] if isinstance(key, str) else list(key)
@@ -34,19 +38,12 @@ def hot_keys(df: DataFrame, key: str | Sequence[str], threshold: int) -> DataFra
             .where(F.col("_rows") > threshold).select(*keys))
 
 
-def split_by_keys(df: DataFrame, keys: DataFrame, key: str, n: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows whose key is not in ``keys``, rows whose key is); ``n`` = known key count."""
-    keys = keys.cache()
-    n = keys.count() if n is None else n
-    side = F.broadcast(keys) if n <= MAX_BROADCAST_KEYS else keys
-    return df.join(side, key, "left_anti"), df.join(side, key, "left_semi")
-
-
 @dataclass
 class HotKeys:
-    """Keys of a table with more than ``threshold`` rows, and how many there are."""
+    """Keys of a table with more than ``threshold`` rows, how many there are, and whether NULL is one."""
     keys: DataFrame
     count: int
+    null: bool = False
 
 
 def find_hot(df: DataFrame, key: str, threshold: int = DEFAULT_HOT_ROWS) -> HotKeys:
@@ -56,10 +53,25 @@ def find_hot(df: DataFrame, key: str, threshold: int = DEFAULT_HOT_ROWS) -> HotK
     input are those of the output: compute them once and pass them along a chain.
     """
     hot = hot_keys(df, key, threshold).cache()
-    n = hot.count()
-    if n == 0:
+    state = hot.agg(F.count(key).alias("n"), F.count_if(F.col(key).isNull()).alias("nulls")).first()
+    if state["n"] == 0:
         hot.unpersist()
-    return HotKeys(hot, n)
+    return HotKeys(hot.where(F.col(key).isNotNull()), state["n"], state["nulls"] > 0)
+
+
+def _side(hot: HotKeys) -> DataFrame:
+    return F.broadcast(hot.keys) if hot.count <= MAX_BROADCAST_KEYS else hot.keys
+
+
+def split_by_keys(df: DataFrame, hot: HotKeys, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of other keys, rows of hot keys); NULL goes with the hot keys if it is hot."""
+    normal, heavy = df, df.where(F.lit(False))
+    if hot.count:
+        normal, heavy = df.join(_side(hot), key, "left_anti"), df.join(_side(hot), key, "left_semi")
+    if hot.null:
+        heavy = heavy.unionByName(df.where(F.col(key).isNull()))
+        normal = normal.where(F.col(key).isNotNull())
+    return normal, heavy
 
 
 def join_per_key(big: DataFrame, per_key: DataFrame, key: str, how: str = "left",
@@ -68,6 +80,8 @@ def join_per_key(big: DataFrame, per_key: DataFrame, key: str, how: str = "left"
 
     ``hot`` passes hot keys found earlier (see :func:`find_hot`); otherwise they are
     found on ``big``.  With ``threshold=None`` and no ``hot`` this is the plain join.
+    Hot keys too many to broadcast are joined in ``SALTS`` parts each instead.  Rows with a hot NULL key
+    match nothing and are set apart without a shuffle.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
@@ -75,11 +89,26 @@ def join_per_key(big: DataFrame, per_key: DataFrame, key: str, how: str = "left"
         if threshold is None:
             return big.join(per_key, key, how)
         hot = find_hot(big, key, threshold)
+    rest = None
+    if hot.null:
+        if how == "left":
+            added = {f.name: F.lit(None).cast(f.dataType) for f in per_key.schema.fields if f.name != key}
+            rest = big.where(F.col(key).isNull()).withColumns(added)
+        big = big.where(F.col(key).isNotNull())
     if hot.count == 0:
-        return big.join(per_key, key, how)
-    if hot.count > MAX_BROADCAST_KEYS:
-        # too many hot keys to broadcast their rows: rely on AQE skew-join splitting
-        return big.join(per_key, key, how)
-    normal, heavy = split_by_keys(big, hot.keys, key, hot.count)
-    hot_rows = per_key.join(F.broadcast(hot.keys), key, "left_semi")  # at most hot.count rows
-    return normal.join(per_key, key, how).unionByName(heavy.join(F.broadcast(hot_rows), key, how))
+        out = big.join(per_key, key, how)
+    else:
+        normal, heavy = split_by_keys(big, HotKeys(hot.keys, hot.count), key)
+        hot_rows = per_key.join(_side(hot), key, "left_semi")  # at most hot.count rows
+        if hot.count <= MAX_BROADCAST_KEYS:
+            joined = heavy.join(F.broadcast(hot_rows), key, how)
+        else:
+            part = F.pmod(F.xxhash64(*[F.col(f.name) for f in heavy.schema.fields if not _is_map(f.dataType)]), F.lit(SALTS))
+            spread = hot_rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+            joined = heavy.withColumn("_salt", part).join(spread, [key, "_salt"], how).drop("_salt")
+        out = normal.join(per_key, key, how).unionByName(joined)
+    return out if rest is None else out.unionByName(rest)
+
+
+def _is_map(kind) -> bool:
+    return kind.typeName() == "map"

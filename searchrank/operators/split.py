@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 from ..schema import GROUP_COL, ITEM_COL
 
 
+def hash_bucket(buckets: int, *cols: str | Column) -> Column:
+    """Bucket of a row by the first 32 bits of the md5 of its key columns, which any engine can compute."""
+    text = F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols])
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(buckets))
+
+
 def random_split_mask(test_pct: int = 20, seed: int = 42, cols: tuple[str, ...] = (GROUP_COL, ITEM_COL)) -> Column:
     """True for the held-out share of rows (row-level split, 80/20 by default)."""
-    return F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in cols]), F.lit(100)) < test_pct
+    return hash_bucket(100, F.lit(seed), *cols) < test_pct
 
 
 def random_split(df: DataFrame, test_pct: int = 20, seed: int = 42,
@@ -27,7 +33,7 @@ def random_split(df: DataFrame, test_pct: int = 20, seed: int = 42,
 def group_fold(n_folds: int = 5, group: str = GROUP_COL, method: str = "hash") -> Column:
     """Fold number of a row; whole searches always land in one fold."""
     if method == "hash":
-        return F.pmod(F.xxhash64(F.col(group)), F.lit(n_folds)).cast("int")
+        return hash_bucket(n_folds, group).cast("int")
     if method == "modulo":
         return F.pmod(F.col(group), F.lit(n_folds)).cast("int")
     raise ValueError("method must be 'hash' or 'modulo'")

@@ -1,8 +1,8 @@
 """Feature pipeline: raw CSV -> typed -> (optional cleaning) -> imputed + property
 features -> processed Parquet for train and test.
 
-One scan per input file; the property statistics are one shared aggregate joined to
-both sets; both outputs are written by executors in parallel.
+The property statistics are one shared aggregate joined to both sets; both outputs are
+written by executors in parallel.
 """
 
 from __future__ import annotations

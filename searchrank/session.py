@@ -1,9 +1,8 @@
 """Session construction and the shared folder for lineage cuts and written tables.
 
-Every query in the package is lazy; the only state kept outside Spark is the
-location of the shared folder, which is always read from the running session
-(``spark.checkpoint.dir``).  A private folder is created only when the session
-has none configured, which happens in unit tests and local runs.
+The only state kept outside Spark is the location of the shared folder, which is
+always read from the running session (``spark.checkpoint.dir``).  A private folder is
+created only for a local session that has none configured (tests and local runs).
 """
 
 from __future__ import annotations
@@ -51,8 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, configuring one only if none is set.
 
     On a cluster ``spark.checkpoint.dir`` names a folder every executor can reach
-    (HDFS / object store); it is used as is.  Only when it is unset (tests) is a
-    private temporary folder created.
+    (HDFS / object store); it is used as is, and an error names the setting if it is
+    missing.  Only a ``local`` or ``local[...]`` session, where one machine is the whole
+    cluster, gets a private temporary folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -60,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="searchrank-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

@@ -5,6 +5,7 @@ The raw log is CSV with a header, one row per (search, candidate), the token
 the data) and then typed in one projection of ``try_cast`` expressions: a value
 that does not fit its type (``'NULL'``, ``'300'`` for a tinyint, ``'3.7'`` for an
 integer, a bad date) becomes NULL instead of failing the job, as a non-strict cast.
+NaN in a float column becomes NULL too.
 Columns without a declared type pass through unchanged.
 """
 
@@ -35,10 +36,10 @@ def apply_dtypes(df: DataFrame, is_train: bool = True) -> DataFrame:
         name = field.name
         if name in types:
             target = types[name]
-            if field.dataType == target:
-                cols.append(F.col(name))
-            else:
-                cols.append(F.col(name).try_cast(target).alias(name))
+            value = F.col(name) if field.dataType == target else F.col(name).try_cast(target)
+            if isinstance(target, (T.FloatType, T.DoubleType)):
+                value = F.when(~F.isnan(value), value)  # NaN is missing
+            cols.append(value.alias(name))
         elif name in DATE_COLUMNS and isinstance(field.dataType, T.StringType):
             cols.append(F.col(name).try_cast(T.TimestampNTZType()).alias(name))
         else:

@@ -35,6 +35,7 @@ def submission_frame(df: DataFrame, pred_col: str, tiebreak: Sequence[str] = DEF
         .orderBy(*order).select(GROUP_COL, ITEM_COL)
 
 
+# The submission's file name (time stamp, three decimals of the score).
 def submission_name(ndcg: float | None = None, now: datetime.datetime | None = None) -> str:
     ts = (now or datetime.datetime.now()).strftime("%Y%m%d_%H%M")
     suffix = f"_{ndcg:.3f}" if ndcg is not None else ""
@@ -64,8 +65,12 @@ def metrics_frame(metrics: dict[str, DataFrame]) -> DataFrame:
     return long.groupBy().pivot("metric", names).agg(F.first("value"))
 
 
-def log_evaluation_summary(metrics: DataFrame, path: str | None = None) -> DataFrame:
-    """Append the metrics row to a CSV folder when a path is given."""
+def log_evaluation_summary(metrics: DataFrame, path: str | None = None, mode: str = "overwrite") -> DataFrame:
+    """Write the metrics row to a CSV folder when a path is given (``mode='append'`` keeps earlier rows)."""
     if path:
-        metrics.coalesce(1).write.mode("append").option("header", True).csv(path)
+        metrics.coalesce(1).write.mode(mode).option("header", True).csv(path)  # one row
     return metrics
+
+
+def read_evaluation_summary(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    return spark.read.option("header", True).schema(", ".join(f"{n} double" for n in names)).csv(path)

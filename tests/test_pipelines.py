@@ -1,4 +1,4 @@
-"""End to end: raw CSV -> features -> ranker -> metrics + submission; streamed scoring."""
+"""End to end: raw CSV -> features -> ranker -> metrics + submission."""
 
 import os
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from searchrank.plans import eda, feature_pipeline, ltr_pipeline, mf_pipeline
 from searchrank.sources import fixture, searchlog
-from searchrank.streaming import scoring
 
 
 def _raw(spark, scratch):
@@ -46,17 +45,3 @@ def test_eda_tables(spark):
     tables = eda.run(fixture.train_log(spark, SF_SMALL))
     assert {r["column"] for r in tables["missing_values"].collect()} == {"prop_review_score", "prop_location_score2"}
     assert tables["click_booking_relation"].agg(F.sum("count")).first()[0] == fixture.train_log(spark, SF_SMALL).count()
-
-
-def test_streamed_scoring(spark, scratch):
-    train_csv, test_csv = _raw(spark, scratch)
-    tr_path, te_path = feature_pipeline.run(spark, train_csv, test_csv, os.path.join(scratch, "processed"),
-                                            add_median=False, add_std=False, add_mean=False)
-    run = ltr_pipeline.run(spark, tr_path, None, None, n_trees=2, max_depth=3)
-    stream = scoring.read_search_log_stream(spark, test_csv)
-    q = scoring.write_ranked_batches(stream, run.model, os.path.join(scratch, "ranked"),
-                                     os.path.join(scratch, "stream_ckpt"))
-    q.processAllAvailable()
-    q.stop()
-    out = spark.read.option("header", True).csv(os.path.join(scratch, "ranked", "batch=*"))
-    assert out.count() == fixture.test_log(spark, SF_SMALL).count()
