@@ -5,24 +5,26 @@ so that every document's sorted set falls into the same number of positional fra
 are compared fragment by fragment.
 
 **Candidates.**  Let a pair of sets with sizes ``a <= b`` link at ``100 * o >= percent * u``.
-It then differs in at most ``a * (100 - percent) / percent`` n-grams, and so in at most as many fragments.
+It then differs in at most ``D = a * (100 - percent) / percent`` n-grams, and so in at most as many fragments.
 Read each fragment's content as one token of a vector of F tokens: vectors
-that differ in at most D places share one of their D + 1 first tokens under any common order
+that differ in at most D places share at least m of their first D + m tokens under any common order
 of tokens (the prefix filter).  Tokens are ordered by how many documents hold them, rarest
 first, so a document's prefix starts with the fragments that are its own; documents further away than the
-threshold rarely share a prefix token even inside a large family of copies.  F is ``FINE`` times the
-largest D of the pair's size class; sets near the lower end of a class also join the class below.
-The order comes from counts of all tokens of all documents in ``ORDER_BUCKETS`` hash buckets: a
-table of fixed size, broadcast.  Any order gives the same links; a good one gives few candidates.
+threshold rarely share m prefix tokens even inside a large family of copies or around a common
+passage.  F is ``FINE`` times the largest D of the pair's size class and m is ``1 + D / MORE``; sets
+near the lower end of a class also join the class below.  The order comes from counts of all tokens of
+all documents in ``ORDER_BUCKETS`` hash buckets: a table of fixed size, broadcast.  Any order
+gives the same links; a good one gives few candidates.
 
-**Overlaps.**  The sets of documents with a shared prefix token are cut into vertical
-fragments of at most about ``PART`` n-grams; partial overlaps are counted for each (pair, fragment)
-by itself and summed per pair.  No row holds more than a fragment of a set, whatever the text's length.
+Most prefix tokens belong to one set.  A first aggregation finds the others and writes them into a
+bit table of fixed size (``FILTER_BITS``, broadcast); the join itself moves only tokens the table lets
+through.  A fuller table lets more through and changes no result.
 
 **Links and components.**  Documents with equal sets are one class from the start.  Then
 
-1. each class is compared with one centre, the class of its buckets whose tokens are the most
-   common (the likely original of a family); links give first components;
+1. each class is compared with one centre, among those of its buckets the one it shares most tokens with (a
+   bucket's centre has the most common tokens: the likely original of a family); links give
+   first components;
 2. of each bucket, every pair from two different components is compared, so no link
    between components is lost, while pairs inside a component, whose class is already settled,
    are never made.  A family of m copies costs about m comparisons instead of m * m.
@@ -47,8 +49,10 @@ from ..session import cut_lineage
 from . import common, textnum
 from .components import components
 
-FINE = 5                 # fragments per difference that the threshold allows
-ORDER_BUCKETS = 1 << 18  # 4 bytes each, broadcast
+FINE = 2                 # fragments per difference that the threshold allows
+MORE = 2                 # one more shared token asked for every so many differences allowed
+ORDER_BUCKETS = 1 << 18  # 8 bytes each, broadcast
+FILTER_BITS = 1 << 25    # 4 MB, broadcast
 PART = 512               # n-grams in a vertical fragment of a set
 
 
@@ -68,6 +72,11 @@ class Levels:
         """Most n-grams that a linked pair differs in, if the smaller set has ``size``."""
         return size * (100 - self.percent) // self.percent
 
+    def prefix(self, size: int) -> int:
+        """Tokens in the prefix of a set of this size."""
+        d = self.differences(size)
+        return d + 1 + d // MORE
+
     def smallest_partner(self, size: int) -> int:
         return -(-size * self.percent // 100)
 
@@ -116,28 +125,45 @@ def tokens(x: np.ndarray, level: int, n_fragments: int) -> np.ndarray:
     return textnum.mix((total[cut[1:]] - total[cut[:-1]]) ^ textnum.mix(place + np.uint64(1)))
 
 
+def bit_table(values: DataFrame, column: str) -> np.ndarray:
+    """A bit table of ``FILTER_BITS`` bits with the bits of all values set."""
+    at = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    words = (values.select(F.shiftright(at, 6).alias("w"), F.pmod(at, F.lit(64)).cast("int").alias("b")).groupBy("w")
+             .agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits")).toPandas())  # at most FILTER_BITS / 64 rows
+    table = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    table[words["w"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
+    return table.view(np.uint64)
+
+
+def in_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the int64 values the bit table lets through."""
+    at = np.mod(values, len(table) * 64)
+    return (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 def bucket_of(t: np.ndarray) -> np.ndarray:
     return (t >> np.uint64(64 - (ORDER_BUCKETS - 1).bit_length())).astype(np.int64)
 
 
 def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text",
                        with_hash: bool = False) -> DataFrame:
-    """``(id_col, n_shingles, component_id, set_id)`` of every row.
+    """``(id_col, n_shingles, component_id, set_id, group_id)`` of every row.
 
     ``component_id`` is the smallest document id reachable by links (``100 * intersection >=
-    percent * union`` of distinct n-grams) and ``set_id`` the class of equal sets.  ``with_hash``
+    percent * union`` of distinct n-grams), ``set_id`` the class of equal sets and ``group_id`` the
+    component as a number of its own (null for empty sets).  ``with_hash``
     adds ``text_hash`` (xxhash64 of the text), to join results with rows of repeated ids.
     """
     spark = df.sparkSession
-    levels = Levels(percent)
+    levels, part = Levels(percent), PART
     docs = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     id_type = docs.schema["_id"].dataType.simpleString()
 
     def each_set(batch: pa.RecordBatch, at: int):
         texts = common.byte_values(batch.column(at))
         row = 0
-        for part in textnum.slices(texts):
-            for x in ngram_sets(texts[part], n):
+        for run in textnum.slices(texts):
+            for x in ngram_sets(texts[run], n):
                 yield row, x
                 row += 1
 
@@ -173,50 +199,70 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
     order = spark.sparkContext.broadcast(order)
 
     # ------------------------------------------------------------- prefix tokens
-    done: set[int] = set()  # a task's own: equal sets of one partition give their tokens once
+    def prefixes(let=None):
+        done: set[int] = set()  # a task's own: equal sets of one partition give their tokens once
 
-    def prefixes(batch: pa.RecordBatch):
-        rank = order.value
-        for _, x in each_set(batch, 0):
-            s, sides = set_digest(x), levels.of(len(x))
-            if not sides or s in done:
-                continue
-            done.add(s)
-            for level, f in sides:
-                t = tokens(x, level, f)
-                c = rank[bucket_of(t)]
-                take = np.lexsort((t, c))[:levels.differences(len(x)) + 1]
-                middle = int(np.median(c))
-                for v in t[take].view("<i8").tolist():
-                    yield v, s, len(x), middle
-
-    prefix = common.row_map(docs.select("_text"), prefixes, "t long, s long, n long, c long", size=lambda r: 32)
-    ends = prefix.groupBy("t").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.max("c").alias("top")).where("lo <> hi")
-    shared = cut_lineage(prefix.join(ends.select("t", "top"), "t").distinct())
+        def run(batch: pa.RecordBatch):
+            rank = order.value
+            for _, x in each_set(batch, 0):
+                s, sides = set_digest(x), levels.of(len(x))
+                if not sides or s in done:
+                    continue
+                done.add(s)
+                for level, f in sides:
+                    t = tokens(x, level, f)
+                    c = rank[bucket_of(t)]
+                    first = t[np.lexsort((t, c))[:levels.prefix(len(x))]].view("<i8")
+                    if let is None:
+                        for v in first.tolist():
+                            yield v, s
+                        continue
+                    first = first[in_table(let.value, first)]
+                    middle = int(np.median(c))
+                    for v in first.tolist():
+                        yield v, s, len(x), middle
+        return run
+
+    text = docs.select("_text")
+    ends = (common.row_map(text, prefixes(), "t long, s long", size=lambda r: 16)
+            .groupBy("t").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("t"))
+    ends = cut_lineage(ends)
+    let = spark.sparkContext.broadcast(bit_table(ends, "t"))
+    shared = common.row_map(text, prefixes(let), "t long, s long, n long, c long", size=lambda r: 32).join(ends, "t").distinct()
+
+    def enough(size):
+        """Prefix tokens that a pair shares, if its smaller set has ``size``."""
+        return F.expr(f"1 + (({size}) * {100 - percent} div {percent}) div {MORE}")
+
+    shared = cut_lineage(shared)
+    able = shared.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"))
+    able = able.where(F.col("m") >= enough(f"(n * {percent} + 99) div 100")).select("s")
+    shared = cut_lineage(shared.join(able, "s"))
 
     # ------------------------------------------- vertical fragments of the sets in question
     wanted = shared.select("s").distinct()
     holder = sets.join(wanted, "s").groupBy("s").agg(F.min(F.struct("_id", "_h")).alias("r"))
-    holder = holder.select(F.col("r._id").alias("_rid"), F.col("r._h").alias("_rh"), F.col("s").alias("_rs"))
-    text = hashed.join(holder, hashed["_id"].eqNullSafe(holder["_rid"]) & (hashed["_h"] == holder["_rh"]))
-    text = text.select("_rs", "_text").dropDuplicates(["_rs"])  # rows repeated as a whole
+    row_of = F.xxhash64("_id", "_h")
+    rows_let = spark.sparkContext.broadcast(bit_table(holder.select(F.xxhash64("r._id", "r._h").alias("row")), "row"))
 
     def cut(batch: pa.RecordBatch):
-        ss = batch.column(0).to_pylist()
-        for row, x in each_set(batch, 1):
-            if set_digest(x) != ss[row]:
+        kept = in_table(rows_let.value, batch.column(0).to_numpy())
+        batch = batch.filter(pa.array(kept))
+        for _, x in each_set(batch, 1):
+            if not len(x):
                 continue
-            parts = vertical_parts(len(x))
+            s, parts = set_digest(x), vertical_parts(len(x), part)
             frag = ((x >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             at = np.searchsorted(frag, np.arange(parts + 1, dtype=np.uint64)).tolist()
             for k in range(parts):
-                yield ss[row], parts, k, x[at[k]:at[k + 1]].tobytes()
-            if parts > 1:  # partners just below the step have half as many fragments
-                half = parts // 2
-                for k in range(half):
-                    yield ss[row], half, k, x[at[2 * k]:at[2 * k + 2]].tobytes()
+                yield s, parts, k, x[at[k]:at[k + 1]].tobytes()
+            half = parts // 2  # partners just below the step have half as many fragments
+            for k in range(half):
+                yield s, half, k, x[at[2 * k]:at[2 * k + 2]].tobytes()
 
-    fragments = cut_lineage(common.row_map(text, cut, "s long, parts int, k int, x binary", size=lambda r: 64 + len(r[3])))
+    pieces = common.row_map(hashed.select(row_of.alias("row"), "_text"), cut, "s long, parts int, k int, x binary",
+                            size=lambda r: 64 + len(r[3]))
+    fragments = cut_lineage(pieces.join(wanted, "s", "left_semi").dropDuplicates(["s", "parts", "k"]))
 
     def links(pairs: DataFrame) -> DataFrame:
         """Verified pairs: partial overlaps per fragment, summed per pair."""
@@ -233,18 +279,20 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
                 o = len(np.intersect1d(np.frombuffer(xa, np.uint64), np.frombuffer(xb, np.uint64), assume_unique=True))
                 yield a, b, na, nb, o
 
-        part = common.row_map(both, overlap, "a long, b long, na long, nb long, o long", size=lambda r: 40)
-        whole = part.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+        partial = common.row_map(both, overlap, "a long, b long, na long, nb long, o long", size=lambda r: 40)
+        whole = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
         return whole.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
     near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    sharing = F.col("m") >= enough("least(na, nb)")
 
     # ---------------------------------------------------- 1. each class and its centre
-    centre = shared.where("c = top").groupBy("t").agg(F.min("s").alias("b"))
+    top = shared.groupBy("t").agg(F.max("c").alias("c"))
+    centre = shared.join(top, ["t", "c"]).groupBy("t").agg(F.min("s").alias("b"))
     centre = centre.join(shared.select("t", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), ["t", "b"])
     star = (shared.select("t", F.col("s").alias("a"), F.col("n").alias("na")).join(centre, "t").where(F.col("a") != F.col("b")).where(near)
-            .groupBy("a", "na").agg(F.max("cb").alias("cb"), F.max_by(F.struct("b", "nb"), "cb").alias("p"))
-            .select("a", "na", "p.b", "p.nb"))
+            .groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("m")).where(sharing)
+            .groupBy("a", "na").agg(F.max(F.struct("m", "b", "nb")).alias("p")).select("a", "na", "p.b", "p.nb"))
     first = cut_lineage(links(star))
     comp = components(first)
 
@@ -259,7 +307,8 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
     cross = (rest.join(everyone, "t").where(F.col("ga") != F.col("gb")).where(F.col("in_main") | (F.col("a") < F.col("b"))).where(near)
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
                      F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
-                     F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct())
+                     F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
+             .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("m")).where(sharing).drop("m"))
     second = cut_lineage(links(cross))
     edges = first.unionByName(second)
     comp = components(edges)
@@ -268,12 +317,13 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
     classes = sets.where("n > 0").groupBy("s").agg(F.min("_id").alias("low"))
     classes = classes.join(comp.withColumnRenamed("v", "s"), "s", "left").withColumn("g", F.coalesce("comp", "s"))
     lowest = classes.groupBy("g").agg(F.min("low").alias("component_id"))
-    full = sets.where("n > 0").join(classes.join(lowest, "g").select("s", "component_id"), "s")
-    out = full.unionByName(sets.where("n = 0").withColumn("component_id", F.col("_id")))
+    full = sets.where("n > 0").join(classes.join(lowest, "g").select("s", "g", "component_id"), "s")
+    none = sets.where("n = 0").withColumn("g", F.lit(None).cast("long")).withColumn("component_id", F.col("_id"))
+    out = full.unionByName(none)
     extra = [F.col("_h").alias("text_hash")] if with_hash else []
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("s").alias("set_id"), *extra)
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("s").alias("set_id"), F.col("g").alias("group_id"), *extra)
 
 
-def vertical_parts(size: int) -> int:
-    """Vertical fragments of a set: the power of two that keeps them at about ``PART`` n-grams."""
-    return 1 << ((size - 1) // PART).bit_length()
+def vertical_parts(size: int, part: int) -> int:
+    """Vertical fragments of a set: the power of two that keeps them at about ``part`` n-grams."""
+    return 1 << ((size - 1) // part).bit_length()
