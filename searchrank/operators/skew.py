@@ -104,7 +104,7 @@ def join_per_key(big: DataFrame, per_key: DataFrame, key: str, how: str = "left"
             joined = heavy.join(F.broadcast(hot_rows), key, how)
         else:
             part = F.pmod(F.xxhash64(*[F.col(f.name) for f in heavy.schema.fields if not _is_map(f.dataType)]), F.lit(SALTS))
-            spread = hot_rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+            spread = hot_rows.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
             joined = heavy.withColumn("_salt", part).join(spread, [key, "_salt"], how).drop("_salt")
         out = normal.join(per_key, key, how).unionByName(joined)
     return out if rest is None else out.unionByName(rest)

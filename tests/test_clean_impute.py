@@ -79,3 +79,12 @@ def test_iqr_bound_is_pushed_to_parquet_scan(spark, scratch):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(price_usd" in plan          # bound reaches the scan as a pushed filter
     assert "other" not in plan.split("ReadSchema")[1].split("\n")[0]  # pruned column
+
+
+def test_zero_fill_keeps_nan_and_empty_tables_have_no_share(spark):
+    from searchrank.operators import clean, profile
+
+    df = spark.createDataFrame([(1, None), (2, float("nan")), (3, 1.5)], "k int, prop_review_score double")
+    got = {r["k"]: r["prop_review_score"] for r in clean.fill_zero(df).collect()}
+    assert got[1] == 0.0 and got[2] != got[2] and got[3] == 1.5
+    assert [r["pct"] for r in profile.zero_profile(df.where("false"), ["prop_review_score"]).collect()] == [None]

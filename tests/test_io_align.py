@@ -51,3 +51,34 @@ def test_iso_weekday_and_hour(spark):
     rows = preprocess(df).collect()
     assert [(r["hour"], r["dow"]) for r in rows] == [(23, 7), (0, 1)]  # Sunday = 7, Monday = 1
     assert "date_time" not in preprocess(df).columns
+
+
+def test_nan_text_is_missing(spark):
+    df = spark.createDataFrame([("NaN", "1"), ("2.5", "2")], "price_usd string, srch_id string")
+    assert sorted(map(tuple, searchlog.apply_dtypes(df).collect()), key=str) == [(2.5, 2), (None, 1)]
+
+
+def test_checkpoint_folder_must_be_named_on_a_cluster():
+    import pytest
+
+    from searchrank import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Fake:
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getCheckpointDir():
+                return None
+
+            @staticmethod
+            def getConf():
+                return Conf()
+        conf = Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Fake())

@@ -5,8 +5,8 @@ import math
 import duckdb
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
+from searchrank import catalog
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
@@ -30,12 +30,12 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
-    sdf = E.queries()[name](spark, SF_SMALL)
+    sdf = catalog.queries()[name](spark, SF_SMALL)
     cols = sorted(sdf.columns)
     got = [r.asDict() for r in sdf.collect()]
-    cur = con.execute(E.oracle_sql()[name])
+    cur = con.execute(catalog.oracle_sql()[name])
     dcols = [d[0] for d in cur.description]
     want = [dict(zip(dcols, r)) for r in cur.fetchall()]
     assert sorted(dcols) == cols

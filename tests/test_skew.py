@@ -3,7 +3,9 @@
 import numpy as np
 import pandas as pd
 
-from searchrank.operators import ltr, skew
+from pyspark.sql import functions as F
+
+from searchrank.operators import ltr, ranking, selection, skew
 
 
 def test_join_per_key_with_hot_key(spark):
@@ -29,3 +31,44 @@ def test_lambda_gradients_hot_path(spark):
          ltr.lambda_gradients(df, "score", "rel", 5, id_cols=("prop_id",), hot_threshold=100)
          .select("srch_id", "prop_id", "lambda", "hessian").collect()}
     assert a == b
+
+
+def test_hot_null_key_is_set_apart(spark):
+    rows = [(None, i) for i in range(300)] + [(1, i) for i in range(200)] + [(k, 0) for k in range(2, 40)]
+    big = spark.createDataFrame(rows, "prop_id long, v int")
+    per_key = spark.createDataFrame([(k, float(k)) for k in range(1, 30)], "prop_id long, m double")
+    hot = skew.find_hot(big, "prop_id", 50)
+    assert (hot.count, hot.null) == (1, True)
+    for how in ("left", "inner"):
+        plain = sorted(map(tuple, big.join(per_key, "prop_id", how).collect()), key=str)
+        assert sorted(map(tuple, skew.join_per_key(big, per_key, "prop_id", how, threshold=50).collect()), key=str) == plain
+
+
+def test_too_many_hot_keys_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MAX_BROADCAST_KEYS", 1)
+    rows = [(k, i) for k in range(5) for i in range(100)] + [(k, 0) for k in range(5, 40)]
+    big = spark.createDataFrame(rows, "prop_id long, v int")
+    per_key = spark.createDataFrame([(k, float(k)) for k in range(1, 30)], "prop_id long, m double")
+    plain = sorted(map(tuple, big.join(per_key, "prop_id", "left").collect()), key=str)
+    assert sorted(map(tuple, skew.join_per_key(big, per_key, "prop_id", "left", threshold=50).collect()), key=str) == plain
+
+
+def test_hot_null_group_is_ranked_apart(spark):
+    rows = [(None, i % 7, i) for i in range(300)] + [(1, i % 5, i) for i in range(30)]
+    df = spark.createDataFrame(rows, "srch_id long, s int, prop_id long").withColumn("price_usd", F.lit(1.0))
+    order = ranking.order_spec("s")
+    a = sorted(map(tuple, ranking.rank_within(df, order, hot_threshold=None).collect()), key=str)
+    assert sorted(map(tuple, ranking.rank_within(df, order, hot_threshold=50).collect()), key=str) == a
+
+
+def test_group_medians_with_a_hot_property(spark):
+    rng = np.random.default_rng(4)
+    rows = [(1, float(x), None if x > 1 else 2.0) for x in rng.normal(size=3001)]
+    rows += [(int(k), float(v), float(v)) for k in range(2, 50) for v in rng.integers(0, 5, rng.integers(1, 9))]
+    rows += [(99, None, None), (None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "prop_id long, a double, b double").repartition(4)
+    got = {r["prop_id"]: (r["ma"], r["mb"]) for r in selection.group_medians(df, "prop_id", ["a", "b"], ["ma", "mb"]).collect()}
+    want = pd.DataFrame(rows, columns=["k", "a", "b"]).dropna(subset=["k"]).groupby("k").median()
+    assert set(got) == {int(k) for k in want.index} - {99}
+    for k, (a, b) in got.items():
+        assert abs(a - want.loc[k, "a"]) < 1e-12 and abs(b - want.loc[k, "b"]) < 1e-12
