@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import preprocess
 from ..operators import features, ltr, metrics, split
 from ..schema import TARGET_COL
+from ..sources import model_store
 from ..sources.sinks import generate_submission, log_evaluation_summary, metrics_frame, read_processed
 
 
@@ -33,12 +34,19 @@ def evaluate(model: ltr.LTRModel, val: DataFrame, k: int = 5) -> DataFrame:
 
 
 def run(spark: SparkSession, train_path: str, test_path: str | None = None, out_dir: str | None = None,
-        fold: int = 0, n_trees: int = 30, max_depth: int = 5, learning_rate: float = 0.1, k: int = 5) -> LTRRun:
+        fold: int = 0, n_trees: int = 30, max_depth: int = 5, learning_rate: float = 0.1, k: int = 5,
+        model_dir: str | None = None, **params) -> LTRRun:
+    """``params`` go to :func:`ltr.fit_ltr` (leaf size, patience, row and column sample, L2, child weight).
+
+    With ``model_dir`` the fitted ranker is saved there under a time-stamped name.
+    """
     train = preprocess(read_processed(spark, train_path))
     fit, val = split.group_kfold(train, 5, fold)
     feats = features.feature_columns(train)
     model = ltr.fit_ltr(fit, feats, TARGET_COL, valid=val, k=k, n_trees=n_trees, max_depth=max_depth,
-                        learning_rate=learning_rate)
+                        learning_rate=learning_rate, **params)
+    if model_dir:
+        model_store.save_ltr_model(spark, model, f"{model_dir.rstrip('/')}/{model_store.model_name('ranker')}")
     row = evaluate(model, val, k)
     path = None
     if out_dir:
@@ -49,3 +57,12 @@ def run(spark: SparkSession, train_path: str, test_path: str | None = None, out_
             path = generate_submission(ltr.predict_ltr(model, test), "pred", f"{out_dir.rstrip('/')}/submissions",
                                        ndcg=score)
     return LTRRun(model, row, path)
+
+
+def predict(spark: SparkSession, test_path: str, out_dir: str, model_dir: str) -> str:
+    """Rank the test table with the newest ranker saved under ``model_dir``."""
+    path = model_store.newest_model(spark, model_dir, "ranker")
+    if path is None:
+        raise FileNotFoundError(f"no saved ranker under {model_dir}")
+    test = preprocess(read_processed(spark, test_path))
+    return generate_submission(ltr.predict_ltr(model_store.load_ltr_model(spark, path), test), "pred", out_dir)

@@ -58,7 +58,8 @@ def save_ltr_model(spark: SparkSession, model: LTRModel, path: str) -> str:
         tree.write().overwrite().save(f"{path}/trees/{i:05d}")
     _write_meta(spark, path, {"kind": "ltr", "features": model.features, "flagged": model.flagged,
                               "learning_rate": model.learning_rate, "n_trees": len(model.trees),
-                              "best_iteration": model.best_iteration, "history": model.history})
+                              "best_iteration": model.best_iteration, "history": model.history,
+                              "columns": model.columns, "leaves": [sorted(x.items()) for x in model.leaves]})
     return path
 
 
@@ -66,7 +67,8 @@ def load_ltr_model(spark: SparkSession, path: str) -> LTRModel:
     meta = _read_meta(spark, path)
     trees = [DecisionTreeRegressionModel.load(f"{path}/trees/{i:05d}") for i in range(meta["n_trees"])]
     return LTRModel(meta["features"], meta["flagged"], meta["learning_rate"], trees, meta["history"],
-                    meta["best_iteration"])
+                    meta["best_iteration"], meta.get("columns", []),
+                    [{int(k): v for k, v in x} for x in meta.get("leaves", [])])
 
 
 def newest_model(spark: SparkSession, folder: str, prefix: str) -> str | None:
