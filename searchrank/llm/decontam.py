@@ -80,8 +80,8 @@ def blocks_of(shingles: DataFrame) -> list[dict[int, np.ndarray]]:
     part = shingles.withColumn("block", F.pmod(F.xxhash64("shingle"), F.lit(max(1, n_blocks))))
     out = []
     for b in range(n_blocks):
-        got = part.where(F.col("block") == b).select("shingle", "s").distinct().toPandas()
-        out.append({int(s): np.sort(g["shingle"].to_numpy(dtype=np.int64).view(np.uint64)) for s, g in got.groupby("s")})
+        got = common.columns_of(part.where(F.col("block") == b).select("shingle", "s").distinct())
+        out.append({int(s): np.sort(got["shingle"][got["s"] == s].astype(np.int64).view(np.uint64)) for s in np.unique(got["s"])})
     return out
 
 

@@ -129,9 +129,10 @@ def bit_table(values: DataFrame, column: str) -> np.ndarray:
     """A bit table of ``FILTER_BITS`` bits with the bits of all values set."""
     at = F.pmod(F.col(column), F.lit(FILTER_BITS))
     words = (values.select(F.shiftright(at, 6).alias("w"), F.pmod(at, F.lit(64)).cast("int").alias("b")).groupBy("w")
-             .agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits")).toPandas())  # at most FILTER_BITS / 64 rows
+             .agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits")))
+    words = common.columns_of(words)  # at most FILTER_BITS / 64 rows
     table = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    table[words["w"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
+    table[words["w"]] = words["bits"]
     return table.view(np.uint64)
 
 
@@ -193,9 +194,10 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["k", "c"])
 
-    counted = docs.select("_text").mapInArrow(count, "k int, c long").groupBy("k").agg(F.sum("c").alias("c")).toPandas()
-    order = np.zeros(ORDER_BUCKETS, dtype=np.int64)  # at most ORDER_BUCKETS rows
-    order[counted["k"].to_numpy(dtype=np.int64)] = counted["c"].to_numpy(dtype=np.int64)
+    counted = docs.select("_text").mapInArrow(count, "k int, c long").groupBy("k").agg(F.sum("c").alias("c"))
+    counted = common.columns_of(counted)  # at most ORDER_BUCKETS rows
+    order = np.zeros(ORDER_BUCKETS, dtype=np.int64)
+    order[counted["k"]] = counted["c"]
     order = spark.sparkContext.broadcast(order)
 
     # ------------------------------------------------------------- prefix tokens

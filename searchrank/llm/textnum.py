@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 500_000
 MULT = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 
@@ -29,7 +29,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = -(-n // 65536) * 65536
             self.up = self._table(int(MULT), size)
             self.down = self._table(_inverse(int(MULT)), size)
         return self.up[:n], self.down[:n]
@@ -38,7 +38,7 @@ class _Powers:
     def _table(base: int, size: int) -> np.ndarray:
         out = np.full(size, _U(base % 2**64), dtype=np.uint64)
         out[0] = 1
-        return np.multiply.accumulate(out)
+        return np.multiply.accumulate(out, out=out)
 
 
 _POWERS = _Powers()

@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
+# Trusted rows that a model is fitted on: at most so many, the ones with the smallest id hashes
+# (8 bytes each, broadcast).  Thresholds and all corpus counts use every row.
+TRUSTED_ROWS = 1_000_000
+HOLD = 10  # one trusted row in this many is held out of every fit, for the threshold
+
+
+def id_hash(id_col: str) -> Column:
+    return F.xxhash64(F.col(id_col))
+
+
+def held_out(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_col), F.lit("held")), F.lit(HOLD)) == 0
+
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Ids labelled good and never labelled bad or toxic (one row each)."""
@@ -14,6 +30,14 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
             .where("g and c").select(F.col(id_col).alias("_tid")))
 
 
-def trusted_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """All rows of ``docs`` whose id is trusted."""
-    return docs.join(trusted_ids(labels), docs[id_col] == F.col("_tid"), "left_semi")
+def fit_hashes(labels: DataFrame, id_col: str = "doc_id") -> np.ndarray:
+    """Sorted id hashes of the trusted rows to fit on."""
+    ids = trusted_ids(labels, id_col).where(~held_out("_tid")).select(id_hash("_tid").alias("h"))
+    return np.sort(common.columns_of(ids.orderBy("h").limit(TRUSTED_ROWS))["h"].astype(np.int64))
+
+
+def among(hashes: np.ndarray, sorted_hashes: np.ndarray) -> np.ndarray:
+    if not len(sorted_hashes):
+        return np.zeros(len(hashes), dtype=bool)
+    at = np.minimum(np.searchsorted(sorted_hashes, hashes), len(sorted_hashes) - 1)
+    return sorted_hashes[at] == hashes

@@ -140,10 +140,10 @@ def brute_kneser_ney(texts, order):
 def test_model_matches_brute_force_and_sums_to_one(spark, make_docs):
     rng = np.random.default_rng(0)
     texts = ["".join(rng.choice(list("abc d"), 60)) for _ in range(4)] + ["abcabcabc", "é1２ Z"]
-    model = kn_quality.KneserNey(kn_quality.gram_counts(make_docs(list(enumerate(texts))), "text"))
+    model = kn_quality.KneserNey(kn_quality.gram_counts(make_docs(list(enumerate(texts))), None, "doc_id", "text"))
     p = brute_kneser_ney(texts, kn_quality.ORDER)
     probe = texts[:2] + ["zzz abc", "abd\U0001f600"]
-    grams = kn_quality.gram_counts(make_docs(list(enumerate(probe))), "text")
+    grams = kn_quality.gram_counts(make_docs(list(enumerate(probe))), None, "doc_id", "text")
     got = model.log_probability(grams).collect()
     assert len(got) > 50
     for r in got:
