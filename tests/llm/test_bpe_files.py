@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from llm_helpers import make_docs  # noqa: F401
 from searchrank.llm import bpe, token_files
 from searchrank.llm.common import read_text
 from searchrank.llm.queries import vocabulary

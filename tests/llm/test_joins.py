@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from llm_helpers import words
+from llm_helpers import make_docs, words  # noqa: F401
 from searchrank.llm import decontam, line_dedup, ngram_join, span_dedup, url_rules
 from searchrank.llm.components import components
 from searchrank.llm.queries import URL_RULES

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from llm_helpers import words
+from llm_helpers import make_docs, words  # noqa: F401
 from searchrank.llm import importance, kn_quality, secret_scan, textnum
 
 GOOD = ["ba", "lo", "mi", "ren", "tas", "vo", "kel", "dur"]
