@@ -32,6 +32,9 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+LOWER_SQL = f"translate({{}}, '{common.UPPER}', '{common.LOWER}')"
+
+
 @register("op1_bpe")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_decode(common.read_table(spark, sf_dir, "documents"), vocabulary())
@@ -39,7 +42,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-@register("op2_ngram_join")
+@register("op2_ngram_join", rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
+       FROM (SELECT doc_id, w, unnest(range(1, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 2, 1) END + 1)) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM o JOIN n na ON x = na.doc_id JOIN n nb ON y = nb.doc_id WHERE 100 * o >= 90 * (na.n + nb.n - o)),
+sym AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(x, y) AS (SELECT x, y FROM sym UNION SELECT r.x, s.y FROM reach r JOIN sym s ON r.y = s.x),
+low AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low.y, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN low ON d.doc_id = low.x
+""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_join.jaccard_components(common.read_table(spark, sf_dir, "documents"), n=3, percent=90)
     return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
@@ -71,7 +86,6 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-LOWER_SQL = f"translate({{}}, '{common.UPPER}', '{common.LOWER}')"
 NON_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
