@@ -25,6 +25,8 @@ LOWER = UPPER.lower()
 
 # Rows leave a Python task in batches of about this many bytes.
 OUT_BYTES = 4_000_000
+# Rows whose texts are Python objects at a time.
+IN_ROWS = 512
 
 
 def ship(spark: SparkSession) -> None:
@@ -68,6 +70,13 @@ def byte_values(col: pa.Array) -> list[bytes | None]:
     return col.to_pylist()
 
 
+def small_batches(batches: Iterable[pa.RecordBatch], rows: int = IN_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most ``rows``, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def batched(rows: Iterable[tuple], schema: pa.Schema, size: Callable[[tuple], int],
             limit: int = OUT_BYTES) -> Iterator[pa.RecordBatch]:
     """Record batches of about ``limit`` bytes from row tuples."""
@@ -96,7 +105,7 @@ def row_map(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str, size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for b in batches:
+            for b in small_batches(batches):
                 yield from fn(b)
         yield from batched(rows(), target, measure)
 

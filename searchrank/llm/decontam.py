@@ -107,7 +107,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 13, id_col: str
     def count(known):
         def run(batches):
             sums: dict[int, np.ndarray] = {s: np.zeros(len(k), dtype=np.int64) for s, k in known.value.items()}
-            for batch in batches:
+            for batch in common.small_batches(batches):
                 texts = common.byte_values(batch.column(0))
                 for part in textnum.slices(texts):
                     w = textnum.words_of(texts[part], textnum.NON_ALNUM)

@@ -78,7 +78,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     target = common.arrow_schema(out_schema)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.small_batches(batches):
             n, gone, kept = [], [], []
             drop_col = batch.column(batch.num_columns - 1)
             texts = common.byte_values(batch.column(batch.num_columns - 2))

@@ -181,7 +181,7 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
 
     def count(batches):
         seen, held, size = np.zeros(ORDER_BUCKETS, dtype=np.int64), [], 0
-        for batch in batches:
+        for batch in common.small_batches(batches):
             for _, x in each_set(batch, 0):
                 for level, f in levels.of(len(x)):
                     held.append(bucket_of(tokens(x, level, f)))
