@@ -71,9 +71,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = keyed(groups, F.col("text_hash"))
     first = rows.where(F.col("group_id").isNotNull()).groupBy("group_id").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*")
     alone = rows.where(F.col("group_id").isNull()).select(*KEY).distinct()
-    held = keyed(packed(docs), text_hash())
-    one = held.join(first, KEY, "left_semi").dropDuplicates(KEY)
-    return one.select("row.*").unionByName(held.join(alone, KEY, "left_semi").select("row.*"))
+    stay = first.withColumn("_one", F.lit(True)).unionByName(alone.withColumn("_one", F.lit(False)))
+    held = keyed(packed(docs), text_hash()).join(stay, KEY)  # texts are shuffled once
+    # of a group's row repeated as a whole one stays; rows without words all stay
+    held = held.withColumn("_copy", F.when(F.col("_one"), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id()))
+    return held.dropDuplicates([*KEY, "_copy"]).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ batch and one output batch.
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import tempfile
 import zipfile
@@ -47,6 +48,12 @@ def ship(spark: SparkSession) -> None:
     sc._searchrank_shipped = True
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now: its cleaner follows the driver's collector."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

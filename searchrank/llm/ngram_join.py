@@ -229,6 +229,7 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
     ends = (common.row_map(text, prefixes(), "t long, s long", size=lambda r: 16)
             .groupBy("t").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("t"))
     ends = cut_lineage(ends)
+    common.release(spark)  # every prefix token was moved once; only the shared ones matter from here
     let = spark.sparkContext.broadcast(bit_table(ends, "t"))
     shared = common.row_map(text, prefixes(let), "t long, s long, n long, c long", size=lambda r: 32).join(ends, "t").distinct()
 
