@@ -1,14 +1,14 @@
 """Substring deduplication over sliding sentence spans.
 
 A text is cut into sentences: after a word ending in ``.``, ``!`` or ``?`` (closing quotes
-and brackets may follow) and at line ends.  A stretch of more than ``LONG`` words without
-such an end is also cut after words whose hash is a multiple of ``CUT``, so text without
-punctuation gets ends that depend on its words only and move with them.
+and brackets may follow) and at line ends.  A sentence of more than ``LONG`` words is also cut after the word
+with the least hash of every ``WINDOW`` consecutive words of it (the last of equal ones), so no piece has over
+``WINDOW`` words and the cuts move with the words.  Pieces count as sentences.  Any 51 words that two texts
+share hold a common span, wherever they start and end: at most 15 words at either end are cut differently.
 
 From every sentence starts one span: the shortest run of at least ``min_sentences``
-sentences and ``min_words`` words.  What a span covers depends on the words from its start on
-and on nothing else, so a passage gives the same spans wherever it stands.  Spans are hashed to
-128 bits (words lower-cased A-Z) and joined over all documents:
+sentences and ``min_words`` words.  Spans are hashed to 128 bits (words lower-cased A-Z) and joined
+over all documents:
 
 1. (span, document) pairs, once per text;
 2. smallest and largest document per span, combined before the shuffle, so a span that a third
@@ -29,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import common, textnum
 
-LONG, CUT = 40, 8
+LONG, WINDOW = 13, 8
 NULL_ID = -2**63
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?")] = True
@@ -55,13 +56,13 @@ def sentence_starts(w: textnum.Words, a: int, b: int) -> np.ndarray:
     stop[:-1] |= feeds[starts[1:] - lo] > feeds[ends[:-1] - lo]
     stop[-1] = True
     cut = np.concatenate([[0], np.flatnonzero(stop) + 1])
-    long = np.flatnonzero(np.diff(cut) > LONG)
-    if len(long):
-        marks = np.flatnonzero(w.hashes[a:b] % np.uint64(CUT) == 0) + 1
-        inside = np.zeros(n + 1, dtype=bool)
-        for i in long:
-            inside[cut[i]:cut[i + 1]] = True
-        cut = np.union1d(cut, marks[inside[np.minimum(marks, n)]])
+    size = np.diff(cut)
+    if (size > LONG).any():
+        sentence = np.repeat(np.arange(len(size)), size)
+        at = np.arange(n - WINDOW + 1)
+        at = at[(sentence[at] == sentence[at + WINDOW - 1]) & (size[sentence[at]] > LONG)]
+        windows = np.lib.stride_tricks.sliding_window_view(w.hashes[a:b], WINDOW)[at, ::-1]
+        cut = np.union1d(cut, at + WINDOW - np.argmin(windows, axis=1))
     return cut
 
 
@@ -87,26 +88,36 @@ def dedup_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     holder has them too), ``n_removed`` those taken out, ``first_docs`` the documents that
     keep the passages removed here, ``kept`` the remaining text.
     """
+    spark = df.sparkSession
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"),
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     docs = docs.withColumn("_h", F.xxhash64("_text"))
 
-    def emit(batch: pa.RecordBatch):
-        ids, hs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.byte_values(batch.column(2))
-        for part in textnum.slices(texts):
-            w = textnum.words_of(texts[part], textnum.SPACES)
-            for j, (d, h) in enumerate(zip(ids[part], hs[part])):
-                keys = spans_of(w, w.first[j], w.first[j + 1], min_sentences, min_words)[3]
-                for one, two in {tuple(k) for k in keys.tolist()}:
-                    yield one, two, d, h
-
-    spans = common.row_map(docs.select("_id", "_h", "_text"), emit, "_one long, _two long, _id long, _h long",
-                           size=lambda r: 32)
-    shared = (spans.groupBy("_one", "_two").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"))
-              .where("_lo < _hi").drop("_hi"))
-    marks = (spans.join(shared, ["_one", "_two"]).groupBy("_id", "_h")
-             .agg(F.collect_list(F.struct("_one", "_two", "_lo")).alias("_marks"))
-             .select(F.col("_id").alias("_mid"), F.col("_h").alias("_mh"), "_marks"))
+    def emit(batches):
+        for batch in common.small_batches(batches):
+            ids, hs, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), common.byte_values(batch.column(2))
+            for part in textnum.slices(texts):
+                w = textnum.words_of(texts[part], textnum.SPACES)
+                found = [spans_of(w, w.first[j], w.first[j + 1], min_sentences, min_words)[3] for j in range(len(ids[part]))]
+                row = np.repeat(np.arange(len(found)), [len(k) for k in found])
+                one, two = np.concatenate(found).T
+                order = np.lexsort((two, one, row))
+                row, one, two = row[order], one[order], two[order]
+                new = np.ones(len(row), dtype=bool)  # a span once per text
+                new[1:] = (row[1:] != row[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+                columns = one[new], two[new], ids[part][row[new]], hs[part][row[new]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_one", "_two", "_id", "_h"])
+
+    common.ship(spark)
+    spans = docs.select("_id", "_h", "_text").mapInArrow(emit, "_one long, _two long, _id long, _h long")
+    # each step's shuffle files go before the next step writes its own
+    shared = cut_lineage(spans.groupBy("_one", "_two").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"))
+                         .where("_lo < _hi").drop("_hi"))
+    common.release(spark)
+    marks = cut_lineage(spans.join(shared, ["_one", "_two"]).groupBy("_id", "_h")
+                        .agg(F.collect_list(F.struct("_one", "_two", "_lo")).alias("_marks"))
+                        .select(F.col("_id").alias("_mid"), F.col("_h").alias("_mh"), "_marks"))
+    common.release(spark)
     held = docs.join(marks, (docs["_id"] == marks["_mid"]) & (docs["_h"] == marks["_mh"]), "left")
     out = (f"`{id_col}` long, n_sentences long, n_shared long, n_removed long, n_removed_words long, "
            "first_docs array<long>, kept binary")
@@ -130,6 +141,8 @@ def strip(w: textnum.Words, j: int, doc: int, text: bytes, found: dict, min_sent
     a, b = int(w.first[j]), int(w.first[j + 1])
     cut, first, stop, keys = spans_of(w, a, b, min_sentences, min_words)
     m = len(cut) - 1
+    if not found and len(np.unique(keys[:, 0])) == len(keys):
+        return m, 0, 0, 0, [], text
     shared, gone = np.zeros(m + 1, dtype=np.int64), np.zeros(m + 1, dtype=np.int64)
     seen: set[tuple[int, int]] = set()
     holders: set[int] = set()

@@ -240,6 +240,30 @@ def test_repeat_inside_a_text_and_same_id(make_docs):
     assert span_dedup.dedup_spans(make_docs([])).count() == 0
 
 
+def test_short_passage_at_unaligned_places_in_long_sentences(make_docs):
+    rng = np.random.default_rng(15)
+    for low, high in ((20, 41), (10, 31), (3, 60)):
+        def prose_words(n):
+            out = []
+            while len(out) < n:
+                out += words(rng, int(rng.integers(low, high)), 10**6)
+                out[-1] += "."
+            return out[:n]
+
+        rows, of = [], {}
+        for k in range(60):
+            passage = prose_words(51 + k % 10)[-(51 + k % 10):]
+            for d in (2 * k, 2 * k + 1):
+                before = prose_words(int(rng.integers(30, 90)))
+                rows.append((d, " ".join(before + passage + prose_words(int(rng.integers(30, 90))))))
+            of[2 * k + 1] = (len(before), set(passage))
+        got = {r["doc_id"]: r for r in span_dedup.dedup_spans(make_docs(rows)).collect()}
+        for d, (_, held) in of.items():
+            gone = set(rows[d][1].split()) - set(got[d]["kept"].split())
+            assert len(held & gone) >= 15 and gone <= held
+            assert got[d]["first_docs"] == [d - 1] and got[d - 1]["n_removed"] == 0
+
+
 # ------------------------------------------------------------------- url rules
 def brute_url(url, rules):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
