@@ -6,8 +6,10 @@ with the least hash of every ``WINDOW`` consecutive words of it (the last of equ
 ``WINDOW`` words and the cuts move with the words.  Pieces count as sentences.  Any 51 words that two texts
 share hold a common span, wherever they start and end: at most 15 words at either end are cut differently.
 
-From every sentence starts one span: the shortest run of at least ``min_sentences``
-sentences and ``min_words`` words.  Spans are hashed to 128 bits (words lower-cased A-Z) and joined
+Removed is what every run of at least ``min_sentences`` sentences and ``min_words`` words covers that is repeated.  Two
+kinds of span are hashed for it: from every sentence the shortest such run that starts there, and
+to every sentence the shortest one that ends there.  A sentence of a longer run lies in a span inside that run,
+so spans cover what all runs cover.  Spans are hashed to 128 bits (words lower-cased A-Z) and joined
 over all documents:
 
 1. (span, document) pairs, once per text;
@@ -67,13 +69,15 @@ def sentence_starts(w: textnum.Words, a: int, b: int) -> np.ndarray:
 
 
 def spans_of(w: textnum.Words, a: int, b: int, min_sentences: int, min_words: int):
-    """(sentence starts, first sentence, end sentence, 128-bit hash) of each span of a text."""
+    """(sentence starts, first sentence, end sentence, 128-bit hash) of each span of a text, by first sentence."""
     cut = sentence_starts(w, a, b)
     m = len(cut) - 1
-    first = np.arange(m)
-    stop = np.maximum(first + min_sentences, np.searchsorted(cut, cut[:-1] + min_words, "left")) if m else first
-    first = first[stop <= m]
-    stop = stop[stop <= m]
+    at = np.arange(m)
+    stop = np.maximum(at + min_sentences, np.searchsorted(cut, cut[:-1] + min_words, "left")) if m else at
+    start = np.minimum(at + 1 - min_sentences, np.searchsorted(cut, cut[1:] - min_words, "right") - 1) if m else at
+    by_start, by_end = stop <= m, start >= 0
+    span = np.unique(np.concatenate([at[by_start] * (m + 1) + stop[by_start], start[by_end] * (m + 1) + at[by_end] + 1]))
+    first, stop = span // (m + 1), span % (m + 1)
     h = w.hashes[a:b]
     one = textnum.span_hash(h, cut[first], cut[stop])
     two = textnum.span_hash(textnum.mix(h ^ np.uint64(0xA5A5A5A55A5A5A5A)), cut[first], cut[stop])

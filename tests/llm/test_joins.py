@@ -264,6 +264,43 @@ def test_short_passage_at_unaligned_places_in_long_sentences(make_docs):
             assert got[d]["first_docs"] == [d - 1] and got[d - 1]["n_removed"] == 0
 
 
+def brute_spans(rows, min_sentences=2, min_words=15):
+    """Removed sentences of each document, over all runs of whole sentences."""
+    texts = {d: [tuple(x.lower().split()) for x in t] for d, t in rows}
+    runs = {d: [(i, e, tuple(t[i:e])) for i in range(len(t)) for e in range(i + min_sentences, len(t) + 1)
+                if sum(map(len, t[i:e])) >= min_words] for d, t in texts.items()}
+    low = {}
+    for d in sorted(runs):
+        for _, _, key in runs[d]:
+            low.setdefault(key, d)
+    out = {}
+    for d, found in runs.items():
+        seen, gone = set(), set()
+        for i, e, key in found:
+            if low[key] < d or key in seen:
+                gone |= set(range(i, e))
+            seen.add(key)
+        out[d] = gone
+    return out
+
+
+def test_spans_cover_what_all_runs_cover(make_docs):
+    rng = np.random.default_rng(16)
+    pool = [" ".join(words(rng, int(rng.choice([1, 2, 3, 5, 8, 13])), 10**6)) + "." for _ in range(25)]
+    rows = [(0, [pool[5], pool[6]])]
+    for d in range(1, 80):
+        a = int(rng.integers(len(pool) - 6))
+        rows.append((d, sentences(rng, 2) + pool[a:a + int(rng.integers(2, 7))] + sentences(rng, int(rng.integers(3)))))
+    rows += [(90, pool), (91, pool[:12] + pool[3:12])]
+    tail = [" ".join(words(rng, n, 10**6)) + "." for n in (13, 5, 5, 2)]
+    rows += [(95, tail), (96, tail)]
+    want = brute_spans(rows)
+    got = {r["doc_id"]: r for r in span_dedup.dedup_spans(make_docs([(d, " ".join(t)) for d, t in rows])).collect()}
+    for d, t in rows:
+        assert got[d]["kept"].split() == " ".join(x for i, x in enumerate(t) if i not in want[d]).split()
+    assert got[96]["kept"] == "" and sum(map(len, want.values())) > 100
+
+
 # ------------------------------------------------------------------- url rules
 def brute_url(url, rules):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
