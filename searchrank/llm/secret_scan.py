@@ -8,10 +8,12 @@ Base spans, leftmost and non-overlapping per kind, offsets in code points:
 
 The method adds ``random``: a run of 16 or more letters, digits and ``+/_-`` that a byte-pair vocabulary
 spells with few characters per token.  Words of any language that the vocabulary knows
-something of take three or more characters a token; random strings about two or fewer.  A run
-counts when it has digits and letters, is no known digest or identifier and touches no base span.
-Left out are: hexadecimal runs (base has the long ones), UUIDs, dates and times, numbers with a short
-unit, and runs that make up or lie in an address (``://``, ``@``, ``www.``, a dot or slash path).
+something of take three or more characters a token; random strings about two or fewer.  A whole run
+is tested if it has digits; if it does not count, each of its segments of 16 or more letters, digits and ``+`` is
+tested by itself, one of letters alone lower-cased and under a tighter limit.  Spans of base are left out, and so are
+hexadecimal strings (base has the long ones), UUIDs, dates and times, numbers with a short unit,
+host and path of a web address and the name in a mail address.  Keys in its query or
+before the ``@`` of its host are tested.
 
 The vocabulary file's bytes are broadcast; their size is the file's.  Every row is scanned
 whole; rows never meet, so there is no shuffle.  Null and empty texts have no spans; repeated ids
@@ -36,7 +38,12 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 KNOWN = re.compile(
     r"[0-9a-fA-F]+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_-]+|[0-9+/_-]*[A-Za-z]{1,3}[0-9+/_-]*")
-ADDRESS_BEFORE = re.compile(r"(?:://|@|www\.|[A-Za-z0-9]\.|/)[^\s]*$")
+SEGMENT = re.compile(r"[A-Za-z0-9+]{16,}")
+URL_BEFORE = re.compile(r"""(?:://|www\.)[^\s?#"'<>,;)]*$""")
+LOGIN_AFTER = re.compile(r"[^\s/?#@]*@")
+MAIL_AFTER = re.compile(r"(?:\.[A-Za-z0-9._+-]*)?@[A-Za-z0-9-]+\.[A-Za-z]")
+PASSWORD_BEFORE = re.compile(r"(?<!mailto):[^\s:@]*$")
+TIGHTER = 0.3  # letters alone
 MIN_ASSIGN, MIN_ACCESS = 8, 16
 
 
@@ -75,20 +82,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def looks_random(run: str, efficiency: TokenEfficiency, limit: float) -> bool:
+    if KNOWN.fullmatch(run):
+        return False
+    if run.isalpha():
+        return efficiency(run) < limit and efficiency(run.lower()) < limit - TIGHTER
+    return any(map(str.isdigit, run)) and efficiency(run) < limit
+
+
+def in_address(text: str, a: int, b: int) -> bool:
+    """Whether a run lies in the host or path of a web address, or is the name in a mail address."""
+    before, after = text[max(0, a - 200):a], text[b:b + 200]
+    if URL_BEFORE.search(before):
+        return not LOGIN_AFTER.match(after)
+    return bool(MAIL_AFTER.match(after)) and not PASSWORD_BEFORE.search(before)
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], efficiency: TokenEfficiency, limit: float) -> list[tuple[int, int, int]]:
-    """Runs that the vocabulary spells inefficiently, outside base spans and known forms."""
+    """Runs, or else segments of them, that the vocabulary spells inefficiently, outside base spans and known forms."""
     out = []
     for m in RUN.finditer(text):
         run, a, b = m[0], m.start(), m.end()
-        if KNOWN.fullmatch(run) or run.isalpha() or not any(map(str.isdigit, run)):
+        if KNOWN.fullmatch(run) or in_address(text, a, b):
             continue
-        if any(s < b and a < e for s, _, e in base):
-            continue
-        before, after = text[max(0, a - 200):a], text[b:b + 1]
-        if after == "@" or (after == "." and text[b + 1:b + 2].isalnum()) or ADDRESS_BEFORE.search(before):
-            continue
-        if efficiency(run) < limit:
+        whole = not run.isalpha() and looks_random(run, efficiency, limit) and not any(s < b and a < e for s, _, e in base)
+        if whole:
             out.append((a, 3, b))
+            continue
+        for part in SEGMENT.finditer(run):
+            c, d = a + part.start(), a + part.end()
+            if not any(s < d and c < e for s, _, e in base) and looks_random(part[0], efficiency, limit):
+                out.append((c, 3, d))
     return out
 
 

@@ -96,6 +96,29 @@ def test_known_forms_are_left_alone(efficiency, text):
     assert secret_scan.random_spans(f"see {text} now", [], efficiency, 2.2) == []
 
 
+LETTERS = ["qZxVtKpLwRbYnGmHsDfJ", "xkqvzjwpthgbnmrdfslc", "QXKZVJWPBHTGNMRDFSLC"]
+
+
+@pytest.mark.parametrize("key", RANDOM + LETTERS)
+def test_random_strings_in_their_surroundings(efficiency, key):
+    for text in ("see {} now", "https://h.org/p?key={}&x=1", "postgres://user:{}@db.example.org/main", "/srv/data/{}", "user:{}@host.org",
+                 "my-long-readable-introduction-{}", '"https://h.org/p","k":"{}"', "a.{}.b", "internationalization_{}/chapter"):
+        at = text.index("{}")
+        spans = secret_scan.random_spans(text.format(key), [], efficiency, 2.2)
+        assert any(a <= at and at + len(key) <= b for a, _, b in spans), text
+
+
+def test_all_segments_of_a_web_token(efficiency):
+    parts = ["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4ifQ", "SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV"]
+    assert [(b - a) for a, _, b in secret_scan.random_spans(".".join(parts), [], efficiency, 2.2)] == [len(x) for x in parts]
+
+
+@pytest.mark.parametrize("text", ["getElementsByTagNameAndClass", "Geschwindigkeitsbegrenzung", "INTERNATIONALIZATION", "and-so-on-and-so-forth-again",
+                                  "mailto:me.xK9vQ2mZ7pL4wR8tY1nB@example.org", "responsabilidades"])
+def test_words_without_digits_are_left_alone(efficiency, text):
+    assert secret_scan.random_spans(f"see {text} now", [], efficiency, 2.2) == []
+
+
 def test_scan_rows(make_docs):
     import public_tokenizers as P
 
