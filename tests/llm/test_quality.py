@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm_helpers import make_docs, words  # noqa: F401
 from searchrank.llm import importance, kn_quality, secret_scan, textnum
@@ -205,6 +206,15 @@ def test_classifier_keeps_prose_and_rejects_junk(corpus, monkeypatch):
     assert kn_quality.classify(docs.where("false"), labels).count() == 0
 
 
+def test_threshold_is_the_held_out_quantile(corpus):
+    docs, labels = corpus
+    got = kn_quality.classify(docs, labels)
+    rows = got.join(kn_quality.trusted_ids(labels), got["doc_id"] == F.col("_tid"), "left_semi")
+    held = [r["steady"] for r in rows.where(kn_quality.held_out("doc_id")).collect()]
+    assert 0 < len(held) < 2 * kn_quality.MIN_HELD  # one scale for all languages, and the 0.995 quantile is the largest
+    assert all(math.isclose(r["threshold"], 1.02 * max(held), rel_tol=1e-9) for r in got.collect())
+
+
 # -------------------------------------------------------------------- pipeline
 def test_pipeline_stages(spark, scratch):
     cp = pytest.importorskip("corpus_pipeline")
