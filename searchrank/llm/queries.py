@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, shared_path
-from . import (bpe, common, decontam, importance, kn_quality, line_dedup, ngram_join, secret_scan, span_dedup, token_files,
-               url_rules)
+from . import (bpe, common, decontam, hard_negatives, importance, kn_quality, line_dedup, ngram_join, secret_scan, simhash,
+               span_dedup, spelling, token_files, url_rules)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -168,3 +168,63 @@ FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.k = 1
 """)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(common.read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@register("op11_simhash")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return simhash.near_duplicates(common.read_table(spark, sf_dir, "documents"), width=4, radius=4)
+
+
+_LETTERS = "[A-Za-z\u00C0-\u00FF]+"
+# crc32 from its defining polynomial: the remainders of the 256 bytes by eight shifts, then one table step per byte
+@register("op12_spelling_variants", f"""
+WITH RECURSIVE crc(b, k, r) AS (
+  SELECT i, 0, i FROM range(256) AS t(i) UNION ALL
+  SELECT b, k + 1, CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END FROM crc WHERE k < 8),
+tab AS (SELECT list(r ORDER BY b) AS t FROM crc WHERE k = 8),
+runs AS (SELECT doc_id, r, count(*) AS n
+         FROM (SELECT doc_id, {LOWER_SQL.format(f"unnest(regexp_extract_all(text, '{_LETTERS}'))")} AS r FROM documents)
+         WHERE length(r) >= 7 GROUP BY doc_id, r),
+bytes AS (SELECT doc_id, r, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r, ''),
+                 lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS bs FROM runs),
+h AS (SELECT r, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(bs, lambda x: x::BIGINT)),
+                 lambda c, x: xor(c >> 8, tab.t[1 + xor(c & 255, x)])), 4294967295::BIGINT) AS h FROM bytes, tab),
+made AS (SELECT CASE WHEN h % 31 = 0 THEN r[1:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+del AS (SELECT word, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT DISTINCT * FROM (
+  SELECT d.word AS a, v.word AS b FROM del d JOIN v ON d.rest = v.word UNION ALL
+  SELECT v.word, d.word FROM del d JOIN v ON d.rest = v.word UNION ALL
+  SELECT x.word, y.word FROM del x JOIN del y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word)),
+ranked AS (SELECT near.a AS word, v.word AS form, v.n AS form_n, count(*) OVER (PARTITION BY near.a) AS n_near,
+                  row_number() OVER (PARTITION BY near.a ORDER BY v.n DESC, v.word) AS k FROM near JOIN v ON near.b = v.word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * v.n THEN form END AS form,
+             CASE WHEN form_n >= 10 * v.n THEN form_n END AS form_n FROM v LEFT JOIN ranked ON v.word = ranked.word AND k = 1),
+walk(word, root) AS (SELECT word, word FROM f UNION ALL SELECT w.word, f.form FROM walk w JOIN f ON w.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, w.root FROM f JOIN walk w ON f.word = w.word JOIN f AS e ON w.root = e.word AND e.form IS NULL
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return spelling.group_variants(common.read_table(spark, sf_dir, "documents"), min_chars=7, min_count=2, ratio=10, change=spelling.drop_by_crc)
+
+
+@register("op13_hard_negatives", """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.other_id AS negative_id, p.positive_score,
+       s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) QUALIFY row_number() OVER w <= 3
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    out = hard_negatives.mine_hard_negatives(common.read_table(spark, sf_dir, "embeddings"), is_anchor=F.col("vec_id") % 50 == 0, label=relabelled)
+    return out.drop("positive_rank")
