@@ -1,35 +1,36 @@
 """Exact n-gram Jaccard self-join by vertical partitioning, with connected components.
 
 The global order of n-grams is the order of their 64-bit hashes.  It is cut into fragments,
-so that every document's sorted set falls into the same number of positional fragments, and two sets
-are compared fragment by fragment.
-
-**Candidates.**  Let a pair of sets with sizes ``a <= b`` link at ``100 * o >= percent * u``.
-It then differs in at most ``D = a * (100 - percent) / percent`` n-grams, and so in at most as many fragments.
-Read each fragment's content as one token of a vector of F tokens: vectors
-that differ in at most D places share at least m of their first D + m tokens under any common order
-of tokens (the prefix filter).  Tokens are ordered by how many documents hold them, rarest
-first, so a document's prefix starts with the fragments that are its own; documents further away than the
-threshold rarely share m prefix tokens even inside a large family of copies or around a common
-passage.  F is ``FINE`` times the largest D of the pair's size class and m is ``1 + D / MORE``; sets
-near the lower end of a class also join the class below.  The order comes from counts of all tokens of
-all documents in ``ORDER_BUCKETS`` hash buckets: a table of fixed size, broadcast.  Any order
-gives the same links; a good one gives few candidates.
-
-Most prefix tokens belong to one set.  A first aggregation finds the others and writes them into a
-bit table of fixed size (``FILTER_BITS``, broadcast); the join itself moves only tokens the table lets
-through.  A fuller table lets more through and changes no result.
+so that every document's sorted set falls into the same number of fragments, and two sets
+are compared fragment by fragment: partial overlaps are counted separately and summed per pair.
+
+**Candidates.**  A pair of sets with sizes ``a`` and ``b`` links at ``100 * o >= percent * u``, that is
+at an overlap of at least ``percent * (a + b) / (100 + percent)``.  Sort every set by one common order, rarest
+n-grams first.  The first shared n-gram of a linked pair then stands so early in both sets that enough
+n-grams follow it.  An n-gram at place r of a set of size a can be that one only for partners of up to
+``reach = (a - r) * (100 + percent) / percent - a``; it is a prefix token while the reach holds the smallest
+partner.  Only tokens whose reach holds the own size can stand in the smaller set of a pair, so the prefix of that
+side is about half as long.  A document that differs from its family in more n-grams than a link allows has its
+own n-grams there and meets no other member of about its size, however large the family.
+
+The order comes from counts of all n-grams of all documents in hash buckets: a table of bounded size, broadcast.
+Any order gives the same links; a good one gives few candidates.
+
+Most prefix tokens belong to one set.  A first aggregation finds the others from one row of each set (rows are told by a
+bit table of fixed size) and writes them into another bit table (``FILTER_BITS``, broadcast); the join itself moves only
+tokens that table lets through.  A fuller table lets more through and changes no result.
 
 **Links and components.**  Documents with equal sets are one class from the start.  Then
 
-1. each class is compared with one centre, among those of its buckets the one it shares most tokens with (a
-   bucket's centre has the most common tokens: the likely original of a family); links give
+1. each class is compared with one centre, among those of its tokens the one it shares most tokens with (a
+   token's centre has the most common n-grams on average: the likely original of a family); links give
    first components;
-2. of each bucket, every pair from two different components is compared, so no link
+2. of each token, the pairs from two different components are compared whose reaches hold each other's size, so no link
    between components is lost, while pairs inside a component, whose class is already settled,
-   are never made.  A family of m copies costs about m comparisons instead of m * m.
+   are never made.  Two classes with one centre are left out if their overlaps with it and the n-grams that they may share
+   outside it are too few.  A family of m copies costs about m comparisons instead of m * m.
 
-Hot buckets are joined as (members outside the bucket's main component) x (members), by
+Step 2 joins by token and band of the smaller size, (members outside the token's main component) x (members), by
 sort-merge joins that adaptive execution can split.
 
 Defined results: a text of fewer than ``n`` words but not none is one n-gram; null texts and texts
@@ -40,6 +41,8 @@ Set digests have 64 bits.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,44 +52,36 @@ from ..session import cut_lineage
 from . import common, textnum
 from .components import components
 
-FINE = 2                 # fragments per difference that the threshold allows
-MORE = 2                 # one more shared token asked for every so many differences allowed
-ORDER_BUCKETS = 1 << 18  # 8 bytes each, broadcast
+ORDER_BUCKETS = 1 << 18  # two bytes each, broadcast; more for more n-grams, up to MOST_BUCKETS
+MOST_BUCKETS = 1 << 24
 FILTER_BITS = 1 << 25    # 4 MB, broadcast
 PART = 512               # n-grams in a vertical fragment of a set
+BAND = 1.02              # sizes in a band differ by less than this factor
 
 
-class Levels:
-    """Size classes and their fragment counts for a threshold in percent."""
+class Threshold:
+    """Sizes and places at which two sets may link, for a Jaccard similarity of ``percent`` or more."""
 
     def __init__(self, percent: int):
         if not 50 <= percent <= 100:
             raise ValueError("percent is between 50 and 100")
         self.percent = percent
-        edges = [1]
-        while edges[-1] < 2**40:
-            edges.append(max(edges[-1] + 1, edges[-1] * 3 // 2, edges[-1] * 100 // percent + 1))
-        self.edges = np.array(edges)
 
-    def differences(self, size: int) -> int:
-        """Most n-grams that a linked pair differs in, if the smaller set has ``size``."""
-        return size * (100 - self.percent) // self.percent
+    def smallest_partner(self, size: int) -> int:
+        return -(-size * self.percent // 100)
+
+    def reach(self, size: int, place):
+        """Largest partner that may share its first n-gram with a set of ``size`` at ``place``."""
+        return (size - place) * (100 + self.percent) // self.percent - size
 
     def prefix(self, size: int) -> int:
-        """Tokens in the prefix of a set of this size."""
-        d = self.differences(size)
-        return d + 1 + d // MORE
+        """Places whose reach holds the smallest partner."""
+        return size - -(-self.percent * (size + self.smallest_partner(size)) // (100 + self.percent)) + 1
 
-    def smallest_partner(self, size: int) -> int:
-        return -(-size * self.percent // 100)
 
-    def of(self, size: int) -> list[tuple[int, int]]:
-        """(class, fragments) that a set of this size takes part in."""
-        if self.differences(size) < 1:
-            return []  # only equal sets link
-        top = int(np.searchsorted(self.edges, size, "right")) - 1
-        low = int(np.searchsorted(self.edges, self.smallest_partner(size), "right")) - 1
-        return [(k, FINE * d) for k in range(low, top + 1) if (d := self.differences(int(self.edges[k + 1]) - 1)) >= 1]
+def order_buckets(n: int) -> int:
+    """Buckets of the order's table for ``n`` n-grams in all: about one for every 1,000, between the bounds."""
+    return min(MOST_BUCKETS, max(ORDER_BUCKETS, 1 << max(0, n // 1000 - 1).bit_length()))
 
 
 def ngram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -115,16 +110,6 @@ def set_digest(x: np.ndarray) -> int:
     return int(textnum.run_hashes(total, 3)[0].view(np.int64))
 
 
-def tokens(x: np.ndarray, level: int, n_fragments: int) -> np.ndarray:
-    """One token per positional fragment of a sorted set."""
-    frag = ((x >> np.uint64(32)) * np.uint64(n_fragments)) >> np.uint64(32)
-    cut = np.searchsorted(frag, np.arange(n_fragments + 1, dtype=np.uint64))
-    total = np.zeros(len(x) + 1, dtype=np.uint64)
-    np.cumsum(textnum.mix(x), out=total[1:])
-    place = np.arange(n_fragments, dtype=np.uint64) + np.uint64(level << 40)
-    return textnum.mix((total[cut[1:]] - total[cut[:-1]]) ^ textnum.mix(place + np.uint64(1)))
-
-
 def bit_table(values: DataFrame, column: str) -> np.ndarray:
     """A bit table of ``FILTER_BITS`` bits with the bits of all values set."""
     at = F.pmod(F.col(column), F.lit(FILTER_BITS))
@@ -142,8 +127,8 @@ def in_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def bucket_of(t: np.ndarray) -> np.ndarray:
-    return (t >> np.uint64(64 - (ORDER_BUCKETS - 1).bit_length())).astype(np.int64)
+def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
+    return (x >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
 
 
 def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text",
@@ -156,7 +141,7 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
     adds ``text_hash`` (xxhash64 of the text), to join results with rows of repeated ids.
     """
     spark = df.sparkSession
-    levels, part = Levels(percent), PART
+    limit, part = Threshold(percent), PART
     docs = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     id_type = docs.schema["_id"].dataType.simpleString()
 
@@ -178,26 +163,35 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
     sets = cut_lineage(common.row_map(hashed, digests, f"_id {id_type}, _h long, s long, n long"))
 
     common.ship(spark)
+    classes = sets.where("n > 0").groupBy("s").agg(F.min("_id").alias("low"), F.min(F.struct("_id", "_h")).alias("r"), F.max("n").alias("n"))
+    classes = cut_lineage(classes)
+    buckets = order_buckets(classes.agg(F.sum("n")).first()[0] or 0)
+
+    def row_table(rows: DataFrame):
+        """Bit table of the rows that stand for their sets."""
+        return spark.sparkContext.broadcast(bit_table(rows.select(F.xxhash64("r._id", "r._h").alias("row")), "row"))
+
+    standing = row_table(classes)
+    text = hashed.select(F.xxhash64("_id", "_h").alias("row"), "_text")
+
+    def each_standing(batch: pa.RecordBatch, table):
+        for _, x in each_set(batch.filter(pa.array(in_table(table.value, batch.column(0).to_numpy()))), 1):
+            if len(x):
+                yield x
 
     def count(batches):
-        seen, held, size = np.zeros(ORDER_BUCKETS, dtype=np.int64), [], 0
+        seen = np.zeros(buckets, dtype=np.int64)
         for batch in common.small_batches(batches):
-            for _, x in each_set(batch, 0):
-                for level, f in levels.of(len(x)):
-                    held.append(bucket_of(tokens(x, level, f)))
-                    size += f
-                if size > 1_000_000:
-                    seen += np.bincount(np.concatenate(held), minlength=ORDER_BUCKETS)
-                    held, size = [], 0
-        if held:
-            seen += np.bincount(np.concatenate(held), minlength=ORDER_BUCKETS)
+            held = list(each_standing(batch, standing))
+            if held:
+                seen += np.bincount(bucket_of(np.concatenate(held), buckets), minlength=buckets)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["k", "c"])
 
-    counted = docs.select("_text").mapInArrow(count, "k int, c long").groupBy("k").agg(F.sum("c").alias("c"))
-    counted = common.columns_of(counted)  # at most ORDER_BUCKETS rows
-    order = np.zeros(ORDER_BUCKETS, dtype=np.int64)
-    order[counted["k"]] = counted["c"]
+    counted = text.mapInArrow(count, "k int, c long").groupBy("k").agg(F.sum("c").alias("c"))
+    counted = common.columns_of(counted)  # at most ``buckets`` rows
+    order = np.zeros(buckets, dtype=np.uint16)
+    order[counted["k"]] = 64 * np.log2(1 + counted["c"])
     order = spark.sparkContext.broadcast(order)
 
     # ------------------------------------------------------------- prefix tokens
@@ -206,54 +200,36 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
 
         def run(batch: pa.RecordBatch):
             rank = order.value
-            for _, x in each_set(batch, 0):
-                s, sides = set_digest(x), levels.of(len(x))
-                if not sides or s in done:
+            for x in each_standing(batch, standing):
+                s, n = set_digest(x), len(x)
+                if s in done:
                     continue
                 done.add(s)
-                for level, f in sides:
-                    t = tokens(x, level, f)
-                    c = rank[bucket_of(t)]
-                    first = t[np.lexsort((t, c))[:levels.prefix(len(x))]].view("<i8")
-                    if let is None:
-                        for v in first.tolist():
-                            yield v, s
-                        continue
-                    first = first[in_table(let.value, first)]
-                    middle = int(np.median(c))
+                c = rank[bucket_of(x, buckets)]
+                first = x[np.argsort(c, kind="stable")[:limit.prefix(n)]].view("<i8")  # equal counts by hash
+                if let is None:
                     for v in first.tolist():
-                        yield v, s, len(x), middle
+                        yield (v,)
+                    continue
+                at, usual = np.flatnonzero(in_table(let.value, first)), int(c.mean() * 100)
+                for v, place, reach in zip(first[at].tolist(), at.tolist(), limit.reach(n, at).tolist()):
+                    yield v, s, n, place, reach, usual
         return run
 
-    text = docs.select("_text")
-    ends = (common.row_map(text, prefixes(), "t long, s long", size=lambda r: 16)
-            .groupBy("t").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("t"))
+    ends = (common.row_map(text, prefixes(), "t long", size=lambda r: 8)
+            .groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("t"))
     ends = cut_lineage(ends)
     common.release(spark)  # every prefix token was moved once; only the shared ones matter from here
     let = spark.sparkContext.broadcast(bit_table(ends, "t"))
-    shared = common.row_map(text, prefixes(let), "t long, s long, n long, c long", size=lambda r: 32).join(ends, "t").distinct()
-
-    def enough(size):
-        """Prefix tokens that a pair shares, if its smaller set has ``size``."""
-        return F.expr(f"1 + (({size}) * {100 - percent} div {percent}) div {MORE}")
-
-    shared = cut_lineage(shared)
-    able = shared.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"))
-    able = able.where(F.col("m") >= enough(f"(n * {percent} + 99) div 100")).select("s")
-    shared = cut_lineage(shared.join(able, "s"))
+    shared = common.row_map(text, prefixes(let), "t long, s long, n long, place long, reach long, c long", size=lambda r: 48)
+    shared = cut_lineage(shared.join(ends, "t").distinct())
 
     # ------------------------------------------- vertical fragments of the sets in question
     wanted = shared.select("s").distinct()
-    holder = sets.join(wanted, "s").groupBy("s").agg(F.min(F.struct("_id", "_h")).alias("r"))
-    row_of = F.xxhash64("_id", "_h")
-    rows_let = spark.sparkContext.broadcast(bit_table(holder.select(F.xxhash64("r._id", "r._h").alias("row")), "row"))
+    rows_let = row_table(classes.join(wanted, "s"))
 
     def cut(batch: pa.RecordBatch):
-        kept = in_table(rows_let.value, batch.column(0).to_numpy())
-        batch = batch.filter(pa.array(kept))
-        for _, x in each_set(batch, 1):
-            if not len(x):
-                continue
+        for x in each_standing(batch, rows_let):
             s, parts = set_digest(x), vertical_parts(len(x), part)
             frag = ((x >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             at = np.searchsorted(frag, np.arange(parts + 1, dtype=np.uint64)).tolist()
@@ -263,12 +239,12 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
             for k in range(half):
                 yield s, half, k, x[at[2 * k]:at[2 * k + 2]].tobytes()
 
-    pieces = common.row_map(hashed.select(row_of.alias("row"), "_text"), cut, "s long, parts int, k int, x binary",
+    pieces = common.row_map(text, cut, "s long, parts int, k int, x binary",
                             size=lambda r: 64 + len(r[3]))
     fragments = cut_lineage(pieces.join(wanted, "s", "left_semi").dropDuplicates(["s", "parts", "k"]))
 
-    def links(pairs: DataFrame) -> DataFrame:
-        """Verified pairs: partial overlaps per fragment, summed per pair."""
+    def overlaps(pairs: DataFrame) -> DataFrame:
+        """``(a, b, na, nb, o)``: partial overlaps per fragment, summed per pair."""
         full = F.expr(f"(least(na, nb) - 1) div {PART}")
         bits = F.when(full == 0, 0).otherwise(F.length(F.bin(full)))
         todo = pairs.withColumn("parts", F.pow(F.lit(2), bits).cast("int"))
@@ -283,42 +259,60 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
                 yield a, b, na, nb, o
 
         partial = common.row_map(both, overlap, "a long, b long, na long, nb long, o long", size=lambda r: 40)
-        whole = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-        return whole.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
+        return partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
 
+    linked = 100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))
     near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    sharing = F.col("m") >= enough("least(na, nb)")
 
     # ---------------------------------------------------- 1. each class and its centre
-    top = shared.groupBy("t").agg(F.max("c").alias("c"))
-    centre = shared.join(top, ["t", "c"]).groupBy("t").agg(F.min("s").alias("b"))
-    centre = centre.join(shared.select("t", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), ["t", "b"])
+    top = shared.groupBy("t").agg(F.max(F.struct("c", (-F.col("s")).alias("b"))).alias("top"))
+    centre = top.select("t", (-F.col("top.b")).alias("b"))
+    centre = centre.join(shared.select("t", F.col("s").alias("b"), F.col("n").alias("nb")), ["t", "b"])
     star = (shared.select("t", F.col("s").alias("a"), F.col("n").alias("na")).join(centre, "t").where(F.col("a") != F.col("b")).where(near)
-            .groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("m")).where(sharing)
+            .groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("m"))
             .groupBy("a", "na").agg(F.max(F.struct("m", "b", "nb")).alias("p")).select("a", "na", "p.b", "p.nb"))
-    first = cut_lineage(links(star))
+    met = cut_lineage(overlaps(star))
+    first = met.where(linked).select("a", "b")
     comp = components(first)
 
     # ------------------------------------------------ 2. pairs across first components
-    placed = shared.join(comp.withColumnRenamed("v", "s"), "s", "left").select(
-        "t", "s", "n", F.coalesce("comp", "s").alias("g"))
+    placed = shared.join(comp.withColumnRenamed("v", "s"), "s", "left").select("t", "s", "n", "place", "reach", F.coalesce("comp", "s").alias("g"))
     sizes = placed.groupBy("t", "g").agg(F.count(F.lit(1)).alias("m"))
     mixed = sizes.groupBy("t").agg(F.max_by("g", "m").alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    open_ = cut_lineage(placed.join(mixed.select("t", "main"), "t"))
-    rest = open_.where("g <> main").select("t", F.col("s").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"))
-    everyone = open_.select("t", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"), (F.col("g") == F.col("main")).alias("in_main"))
-    cross = (rest.join(everyone, "t").where(F.col("ga") != F.col("gb")).where(F.col("in_main") | (F.col("a") < F.col("b"))).where(near)
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                     F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
-                     F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-             .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("m")).where(sharing).drop("m"))
-    second = cut_lineage(links(cross))
-    edges = first.unionByName(second)
+    open_ = placed.join(mixed.select("t", "main"), "t").join(met.select(F.col("a").alias("s"), F.col("b").alias("z"), "o"), "s", "left")
+    # n-grams outside the centre that a partner may share, if this token is the first shared one: those before it are
+    # not shared, and at most as many of them as stand before it in the centre belong to the centre
+    at_centre = shared.select("t", F.col("s").alias("z"), F.col("place").alias("z_place"))
+    outside = F.greatest(F.col("place") - F.col("z_place"), F.lit(0))
+    open_ = open_.join(at_centre, ["t", "z"], "left").withColumn("free", F.col("n") - F.col("o") - F.coalesce(outside, F.lit(0)))
+    open_ = cut_lineage(open_.drop("place", "z_place"))
+
+    def band(size):
+        return F.floor(F.ln(size) / F.lit(math.log(BAND)))
+
+    side = ["t", "band", "s", "n", "reach", "g", "z", "o", "free", (F.col("g") == F.col("main")).alias("in_main")]
+    small = open_.where("reach >= n").withColumn("band", band(F.col("n"))).select(side)
+    lowest = band(F.ceil(F.col("n") * percent / 100))
+    large = open_.withColumn("band", F.explode(F.sequence(lowest, band(F.least("n", "reach"))))).select(side)
+
+    def met_at(x: DataFrame, y: DataFrame) -> DataFrame:
+        x = x.select("t", "band", *[F.col(c).alias(f"a_{c}") for c in ("s", "n", "reach", "g", "z", "o", "free")])
+        y = y.select("t", "band", *[F.col(c).alias(f"b_{c}") for c in ("s", "n", "reach", "g", "z", "o", "free")])
+        need = percent * (F.col("a_n") + F.col("b_n"))
+        most = F.least("a_o", "b_o") + F.least("a_free", "b_free")  # what two sets with one centre can share
+        return (x.join(y, ["t", "band"]).where(F.col("a_g") != F.col("b_g")).where((F.col("b_n") <= F.col("a_reach")) & (F.col("a_n") <= F.col("b_reach")))
+                .where((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_s") < F.col("b_s"))))
+                .where(~F.coalesce((F.col("a_z") == F.col("b_s")) | (F.col("b_z") == F.col("a_s")), F.lit(False)))
+                .where(~F.coalesce((F.col("a_z") == F.col("b_z")) & ((100 + percent) * most < need), F.lit(False)))
+                .select(F.col("a_s").alias("a"), F.col("b_s").alias("b"), F.col("a_n").alias("na"), F.col("b_n").alias("nb")).where(near))
+
+    cross = met_at(small.where("not in_main"), large).unionByName(met_at(small.where("in_main"), large.where("not in_main"))).distinct()
+    cross = cut_lineage(cross)
+    edges = first.unionByName(cut_lineage(overlaps(cross).where(linked).select("a", "b")))
     comp = components(edges)
 
     # ------------------------------------------------------------------- result
-    classes = sets.where("n > 0").groupBy("s").agg(F.min("_id").alias("low"))
-    classes = classes.join(comp.withColumnRenamed("v", "s"), "s", "left").withColumn("g", F.coalesce("comp", "s"))
+    classes = classes.select("s", "low").join(comp.withColumnRenamed("v", "s"), "s", "left").withColumn("g", F.coalesce("comp", "s"))
     lowest = classes.groupBy("g").agg(F.min("low").alias("component_id"))
     full = sets.where("n > 0").join(classes.join(lowest, "g").select("s", "g", "component_id"), "s")
     none = sets.where("n = 0").withColumn("g", F.lit(None).cast("long")).withColumn("component_id", F.col("_id"))

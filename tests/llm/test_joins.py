@@ -96,6 +96,51 @@ def test_jaccard_with_crowded_tables(spark, make_docs, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute_components(rows, 3, 90)
 
 
+def counted_candidates(monkeypatch):
+    """Rows of every table of candidate pairs that the join makes from here on."""
+    made, real = [], ngram_join.cut_lineage
+
+    def cut(df, *a):
+        out = real(df, *a)
+        if out.columns == ["a", "b", "na", "nb"]:
+            made.append(out.count())
+        return out
+    monkeypatch.setattr(ngram_join, "cut_lineage", cut)
+    return made
+
+
+@pytest.mark.parametrize("jitter", [0, 6])
+def test_family_just_below_the_threshold_has_few_candidates(spark, make_docs, monkeypatch, jitter):
+    """3,000 copies, most of them a little too far from the original and from each other, with equal or different lengths."""
+    made = counted_candidates(monkeypatch)
+    rng = np.random.default_rng(21)
+    base, texts = words(rng, 242, 10**6), []
+    for k in range(3000):
+        w = list(base)
+        for p in rng.choice(np.arange(10, 235, 4), 5 if k % 8 else 3, replace=False):
+            w[p] = f"own{k}x{p}"
+        cut = int(rng.integers(0, jitter + 1))
+        texts.append(" ".join(w[cut:]))
+    rows = list(enumerate([" ".join(base), *texts]))
+    got = ngram_join.jaccard_components(make_docs(rows)).select("doc_id", "n_shingles", "component_id").collect()
+    ids: dict[tuple, int] = {}
+    sets = [np.array([ids.setdefault(g, len(ids)) for g in shingles(t, 3)]) for _, t in rows]
+    common_part = np.array(sorted(ids[g] for g in shingles(rows[0][1], 3)))
+    # own n-grams belong to one document each, so overlaps lie inside the original's n-grams
+    inside = np.zeros((len(rows), len(common_part)), dtype=np.float32)
+    for k, s in enumerate(sets):
+        inside[k] = np.isin(common_part, s)
+    o, n = inside @ inside.T, np.array([len(s) for s in sets])
+    i, j = np.nonzero(np.triu(100 * o >= 90 * (n[:, None] + n[None, :] - o), 1))
+    root = union_find(len(rows), list(zip(i.tolist(), j.tolist())))
+    low = {}
+    for k, r in enumerate(root):
+        low[r] = min(low.get(r, k), k)
+    want = [(k, int(n[k]), low[root[k]]) for k in range(len(rows))]
+    assert sorted(map(tuple, got)) == want and 300 < sum(w[2] == 0 for w in want)
+    assert sum(made) < 2 * len(rows)
+
+
 def test_jaccard_of_empty_table(make_docs):
     assert ngram_join.jaccard_components(make_docs([])).count() == 0
 
