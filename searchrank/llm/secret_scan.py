@@ -22,7 +22,9 @@ give a row each.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 
 import pyarrow as pa
@@ -39,10 +41,11 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 KNOWN = re.compile(
     r"[0-9a-fA-F]+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_-]+|[0-9+/_-]*[A-Za-z]{1,3}[0-9+/_-]*")
 SEGMENT = re.compile(r"[A-Za-z0-9+]{16,}")
-URL_BEFORE = re.compile(r"""(?:://|www\.)[^\s?#"'<>,;)]*$""")
-LOGIN_AFTER = re.compile(r"[^\s/?#@]*@")
-MAIL_AFTER = re.compile(r"(?:\.[A-Za-z0-9._+-]*)?@[A-Za-z0-9-]+\.[A-Za-z]")
-PASSWORD_BEFORE = re.compile(r"(?<!mailto):[^\s:@]*$")
+URL = re.compile(r"""(?:://|www\.)([^\s?#"'<>,;)]*)""")
+LOGIN_STOP = re.compile(r"[\s/?#]")
+MAIL_STOP = re.compile(r"[^A-Za-z0-9._+-]")
+MAIL_HOST = re.compile(r"@[A-Za-z0-9-]+\.[A-Za-z]")
+NAME_STOP = re.compile(r"[\s:@]")
 TIGHTER = 0.3  # letters alone
 MIN_ASSIGN, MIN_ACCESS = 8, 16
 
@@ -90,28 +93,67 @@ def looks_random(run: str, efficiency: TokenEfficiency, limit: float) -> bool:
     return any(map(str.isdigit, run)) and efficiency(run) < limit
 
 
-def in_address(text: str, a: int, b: int) -> bool:
-    """Whether a run lies in the host or path of a web address, or is the name in a mail address."""
-    before, after = text[max(0, a - 200):a], text[b:b + 200]
-    if URL_BEFORE.search(before):
-        return not LOGIN_AFTER.match(after)
-    return bool(MAIL_AFTER.match(after)) and not PASSWORD_BEFORE.search(before)
+class Addresses:
+    """Whether runs, asked for in text order, lie in an address; the text is gone over once, however long it is."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.urls = URL.finditer(text)
+        self.url = next(self.urls, None)
+        self.at = text.find("@")        # the next @ after the last run
+        self.login = self.mail = None   # last characters before it that end a login or a mail name
+        self.host = False               # whether a mail host follows it
+        self.seen, self.stop = 0, -1    # text gone over for the last of NAME_STOP, and its place
+
+    def _next_at(self, b: int) -> bool:
+        while -1 < self.at < b:
+            self.at, self.login = self.text.find("@", max(b, self.at + 1)), None
+        if self.at < 0:
+            return False
+        if self.login is None:
+            self.login = max((m.start() for m in LOGIN_STOP.finditer(self.text, b, self.at)), default=-1)
+            self.mail = max((m.start() for m in MAIL_STOP.finditer(self.text, b, self.at)), default=-1)
+            self.host = MAIL_HOST.match(self.text, self.at) is not None
+        return True
+
+    def _password(self, a: int) -> bool:
+        """Whether a colon, not that of mailto, is the last separator before the run."""
+        for m in NAME_STOP.finditer(self.text, self.seen, a):
+            self.stop = m.start()
+        self.seen = max(self.seen, a)
+        return self.stop >= 0 and self.text[self.stop] == ":" and not self.text.startswith("mailto", max(0, self.stop - 6))
+
+    def hold(self, a: int, b: int) -> bool:
+        """Whether the run lies in the host or path of a web address, or is the name in a mail address."""
+        while self.url is not None and self.url.end() <= a:
+            self.url = next(self.urls, None)
+        at = self._next_at(b)
+        if self.url is not None and self.url.start(1) <= a:
+            return not (at and self.login < b)
+        mail = at and self.host and (self.at == b or (self.text[b] == "." and self.mail < b))
+        return mail and not self._password(a)
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], efficiency: TokenEfficiency, limit: float) -> list[tuple[int, int, int]]:
     """Runs, or else segments of them, that the vocabulary spells inefficiently, outside base spans and known forms."""
-    out = []
+    out, addresses = [], Addresses(text)
+    starts = [a for a, _, _ in base]
+    reach = list(itertools.accumulate((b for _, _, b in base), max))
+
+    def in_base(a: int, b: int) -> bool:
+        k = bisect.bisect_left(starts, b)
+        return k > 0 and reach[k - 1] > a
+
     for m in RUN.finditer(text):
         run, a, b = m[0], m.start(), m.end()
-        if KNOWN.fullmatch(run) or in_address(text, a, b):
+        if KNOWN.fullmatch(run) or addresses.hold(a, b):
             continue
-        whole = not run.isalpha() and looks_random(run, efficiency, limit) and not any(s < b and a < e for s, _, e in base)
-        if whole:
+        if not run.isalpha() and not in_base(a, b) and looks_random(run, efficiency, limit):
             out.append((a, 3, b))
             continue
         for part in SEGMENT.finditer(run):
             c, d = a + part.start(), a + part.end()
-            if not any(s < d and c < e for s, _, e in base) and looks_random(part[0], efficiency, limit):
+            if not in_base(c, d) and looks_random(part[0], efficiency, limit):
                 out.append((c, 3, d))
     return out
 
