@@ -9,8 +9,8 @@ hashed into ``BUCKETS`` buckets.  Two multinomials over the buckets of each kind
 A text's score is the sum over kinds of the mean log ratio of its n-grams, so it is normalised by
 length.  Counts are added per task, then summed by bucket; the two tables have a fixed
 size (``BUCKETS`` entries a kind) and are broadcast.  The threshold is a low quantile of the held-out trusted
-rows' scores less a margin; it is applied to every row, with no sampling: the same
-score always gives the same verdict.
+rows' scores less a margin, an exact order statistic; it is applied to every row, with no sampling.  Log ratios are
+fixed-point integers, so sums do not depend on their order: the same text always gives the same score and verdict.
 
 Base rules come first: a text with fewer than ``min_words`` words, or more than half of whose words stand in
 a run of three words found twice or more in it, fails whatever its score.
@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.selection import nearest_quantiles
 from ..session import cut_lineage
 from . import common, textnum
 from .trusted import among, fit_hashes, held_out, id_hash, trusted_ids
 
 BUCKETS = 1 << 18
 KINDS = 3
+FIXED = 1 << 20  # steps of a log ratio
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _LEAD = np.ones(256, dtype=bool)
@@ -54,7 +56,11 @@ def features(w: textnum.Words) -> list[tuple[np.ndarray, np.ndarray]]:
     data = w.data.astype(np.uint64)
     n = max(len(data) - 3, 0)
     run = data[:n] | data[1:n + 1] << np.uint64(8) | data[2:n + 2] << np.uint64(16) | data[3:n + 3] << np.uint64(24)
-    return [(one, w.first), (two[inside], first_two), (bucket(textnum.mix(run + np.uint64(77))), np.minimum(w.at, n))]
+    within = np.ones(n, dtype=bool)  # likewise runs of bytes
+    over = (w.at[1:, None] - 1 - np.arange(4)).ravel()
+    within[over[(over >= 0) & (over < n)]] = False
+    first_run = np.searchsorted(np.flatnonzero(within), w.at)
+    return [(one, w.first), (two[inside], first_two), (bucket(textnum.mix(run[within] + np.uint64(77))), first_run)]
 
 
 def counts(rows: DataFrame, fit: np.ndarray, id_col: str, text_col: str) -> DataFrame:
@@ -81,8 +87,8 @@ def counts(rows: DataFrame, fit: np.ndarray, id_col: str, text_col: str) -> Data
 
 
 def log_ratios(counted: DataFrame) -> np.ndarray:
-    """Log of target over raw probability per bucket; the target is smoothed towards raw."""
-    out = np.zeros((KINDS, BUCKETS), dtype=np.float32)
+    """Log of target over raw probability per bucket, in steps of 1 / FIXED; the target is smoothed towards raw."""
+    out = np.zeros((KINDS, BUCKETS), dtype=np.int32)
     got = common.columns_of(counted)  # at most KINDS * BUCKETS rows
     tables = []
     for name in ("raw", "target"):
@@ -93,7 +99,7 @@ def log_ratios(counted: DataFrame) -> np.ndarray:
         r, t = tables[0][kind], tables[1][kind]
         p_raw = (r + 1) / (r.sum() + BUCKETS)
         p_target = (t + p_raw * BUCKETS / 2) / (t.sum() + BUCKETS / 2)
-        out[kind] = np.log(p_target / p_raw)
+        out[kind] = np.rint(np.log(p_target / p_raw) * FIXED)
     return out
 
 
@@ -134,9 +140,8 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.002, margin: f
             w = textnum.words_of(texts[part], textnum.SPACES, lower=False)
             score = np.zeros(len(w.first) - 1)
             for kind, (b, first) in enumerate(features(w)):
-                total = np.concatenate([[0.0], np.cumsum(table.value[kind][b], dtype=np.float64)])
-                size = np.diff(first)
-                score += np.where(size > 0, (total[first[1:]] - total[first[:-1]]) / np.maximum(size, 1), 0.0)
+                total = np.concatenate([[0], np.cumsum(table.value[kind][b], dtype=np.int64)])
+                score += (total[first[1:]] - total[first[:-1]]) / np.maximum(np.diff(first), 1) / FIXED
             for j, d in enumerate(ids[part]):
                 yield d, *base_figures(w, j, texts[part][j]), float(round(score[j], 6))
 
@@ -144,7 +149,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.002, margin: f
         rows, run, f"_id {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"))
     known = scored.join(trusted_ids(labels), F.col("_id") == F.col("_tid"), "left_semi")
     known = known.where((F.col("n_words") >= min_words) & held_out("_id"))
-    limit = known.agg((F.percentile_approx("score", F.lit(quantile), F.lit(10000)) - margin).alias("threshold"))
+    limit = nearest_quantiles(known, "score", [quantile])[quantile]
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = scored.join(F.broadcast(limit)).withColumn("threshold", F.coalesce("threshold", F.lit(float("-inf")))).withColumn("base_failed", failed)
+    out = scored.withColumn("threshold", F.lit(float("-inf") if limit is None else limit - margin)).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.col("threshold"))).withColumnRenamed("_id", id_col)
