@@ -5,13 +5,13 @@ so that every document's sorted set falls into the same number of fragments, and
 are compared fragment by fragment: partial overlaps are counted separately and summed per pair.
 
 **Candidates.**  A pair of sets with sizes ``a`` and ``b`` links at ``100 * o >= percent * u``, that is
-at an overlap of at least ``percent * (a + b) / (100 + percent)``.  Sort every set by one common order, rarest
-n-grams first.  The first shared n-gram of a linked pair then stands so early in both sets that enough
-n-grams follow it.  An n-gram at place r of a set of size a can be that one only for partners of up to
-``reach = (a - r) * (100 + percent) / percent - a``; it is a prefix token while the reach holds the smallest
-partner.  Only tokens whose reach holds the own size can stand in the smaller set of a pair, so the prefix of that
-side is about half as long.  A document that differs from its family in more n-grams than a link allows has its
-own n-grams there and meets no other member of about its size, however large the family.
+at an overlap of at least ``need = percent * (a + b) / (100 + percent)``.  Sort every set by one common order, rarest
+n-grams first.  The first m shared n-grams of a linked pair then stand at places up to ``a - need + m - 1`` and
+``b - need + m - 1``, since enough shared n-grams follow the first; m is ``1 + D / MORE`` for the D differences that
+the smaller set may have.  A pair is a candidate if it shares m tokens at such places.  The larger the partner, the
+earlier the places: tokens at which a set can be the smaller one of a pair are about half of its prefix.  A
+document that differs from its family in more n-grams than a link allows has its own n-grams there, is left with
+fewer than m shared tokens, and meets no other member of about its size, however large the family.
 
 The order comes from counts of all n-grams of all documents in hash buckets: a table of bounded size, broadcast.
 Any order gives the same links; a good one gives few candidates.
@@ -25,12 +25,12 @@ tokens that table lets through.  A fuller table lets more through and changes no
 1. each class is compared with one centre, among those of its tokens the one it shares most tokens with (a
    token's centre has the most common n-grams on average: the likely original of a family); links give
    first components;
-2. of each token, the pairs from two different components are compared whose reaches hold each other's size, so no link
+2. of each token, the pairs from two different components are compared whose places allow a link, so no link
    between components is lost, while pairs inside a component, whose class is already settled,
    are never made.  Two classes with one centre are left out if their overlaps with it and the n-grams that they may share
    outside it are too few.  A family of m copies costs about m comparisons instead of m * m.
 
-Step 2 joins by token and band of the smaller size, (members outside the token's main component) x (members), by
+Both count a pair's shared tokens.  Step 2 joins by token and band of the smaller size, (members outside the token's main component) x (members), by
 sort-merge joins that adaptive execution can split.
 
 Defined results: a text of fewer than ``n`` words but not none is one n-gram; null texts and texts
@@ -55,6 +55,7 @@ from .components import components
 ORDER_BUCKETS = 1 << 18  # two bytes each, broadcast; more for more n-grams, up to MOST_BUCKETS
 MOST_BUCKETS = 1 << 24
 FILTER_BITS = 1 << 25    # 4 MB, broadcast
+MORE = 2                 # one more shared token asked for every so many differences allowed
 PART = 512               # n-grams in a vertical fragment of a set
 BAND = 1.02              # sizes in a band differ by less than this factor
 
@@ -70,13 +71,22 @@ class Threshold:
     def smallest_partner(self, size: int) -> int:
         return -(-size * self.percent // 100)
 
-    def reach(self, size: int, place):
-        """Largest partner that may share its first n-gram with a set of ``size`` at ``place``."""
-        return (size - place) * (100 + self.percent) // self.percent - size
+    def tokens(self, smaller):
+        """Shared prefix tokens of a linked pair whose smaller set has this size."""
+        return 1 + smaller * (100 - self.percent) // (200 * MORE)
 
-    def prefix(self, size: int) -> int:
-        """Places whose reach holds the smallest partner."""
-        return size - -(-self.percent * (size + self.smallest_partner(size)) // (100 + self.percent)) + 1
+    def last_place(self, size, partner):
+        """Last place in a set of ``size`` of the shared tokens asked for with a set of ``partner``."""
+        need = -(-self.percent * (size + partner) // (100 + self.percent))
+        return size - need + self.tokens(np.minimum(size, partner)) - 1
+
+    def places(self, size: int) -> tuple[int, int, np.ndarray]:
+        """(prefix length, places as the smaller set, largest partner up to ``size`` by place of the prefix)."""
+        partners = np.arange(self.smallest_partner(size), size + 1)
+        last = np.maximum.accumulate(self.last_place(size, partners)[::-1])[::-1]
+        prefix = min(size, int(last[0]) + 1)
+        reach = partners[0] + np.searchsorted(-last, -np.arange(prefix), "right") - 1
+        return prefix, min(prefix, int(last[-1]) + 1), reach
 
 
 def order_buckets(n: int) -> int:
@@ -206,14 +216,19 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
                     continue
                 done.add(s)
                 c = rank[bucket_of(x, buckets)]
-                first = x[np.argsort(c, kind="stable")[:limit.prefix(n)]].view("<i8")  # equal counts by hash
+                prefix, as_small, reach = limit.places(n)
+                first = x[np.argsort(c, kind="stable")[:prefix]].view("<i8")  # equal counts by hash
                 if let is None:
                     for v in first.tolist():
                         yield (v,)
                     continue
                 at, usual = np.flatnonzero(in_table(let.value, first)), int(c.mean() * 100)
-                for v, place, reach in zip(first[at].tolist(), at.tolist(), limit.reach(n, at).tolist()):
-                    yield v, s, n, place, reach, usual
+                if len(at) < limit.tokens(limit.smallest_partner(n)):
+                    continue
+                if np.searchsorted(at, as_small) < limit.tokens(n):
+                    as_small = 0  # too few shared tokens to be the smaller set of a pair
+                for v, place, most in zip(first[at].tolist(), at.tolist(), reach[at].tolist()):
+                    yield v, s, n, place, most, place < as_small, usual
         return run
 
     ends = (common.row_map(text, prefixes(), "t long", size=lambda r: 8)
@@ -221,7 +236,7 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
     ends = cut_lineage(ends)
     common.release(spark)  # every prefix token was moved once; only the shared ones matter from here
     let = spark.sparkContext.broadcast(bit_table(ends, "t"))
-    shared = common.row_map(text, prefixes(let), "t long, s long, n long, place long, reach long, c long", size=lambda r: 48)
+    shared = common.row_map(text, prefixes(let), "t long, s long, n long, place long, reach long, small boolean, c long", size=lambda r: 48)
     shared = cut_lineage(shared.join(ends, "t").distinct())
 
     # ------------------------------------------- vertical fragments of the sets in question
@@ -261,52 +276,56 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
         partial = common.row_map(both, overlap, "a long, b long, na long, nb long, o long", size=lambda r: 40)
         return partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
 
+    need = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+    asked = F.expr(f"1 + least(na, nb) * {100 - percent} div {200 * MORE}")
+    early = (F.col("pa") < F.col("na") - need + asked) & (F.col("pb") < F.col("nb") - need + asked)
     linked = 100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))
     near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
     # ---------------------------------------------------- 1. each class and its centre
     top = shared.groupBy("t").agg(F.max(F.struct("c", (-F.col("s")).alias("b"))).alias("top"))
     centre = top.select("t", (-F.col("top.b")).alias("b"))
-    centre = centre.join(shared.select("t", F.col("s").alias("b"), F.col("n").alias("nb")), ["t", "b"])
-    star = (shared.select("t", F.col("s").alias("a"), F.col("n").alias("na")).join(centre, "t").where(F.col("a") != F.col("b")).where(near)
-            .groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("m"))
+    centre = centre.join(shared.select("t", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb")), ["t", "b"])
+    star = (shared.select("t", F.col("s").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa")).join(centre, "t")
+            .where(F.col("a") != F.col("b")).where(near & early)
+            .groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= asked)
             .groupBy("a", "na").agg(F.max(F.struct("m", "b", "nb")).alias("p")).select("a", "na", "p.b", "p.nb"))
     met = cut_lineage(overlaps(star))
     first = met.where(linked).select("a", "b")
     comp = components(first)
 
     # ------------------------------------------------ 2. pairs across first components
-    placed = shared.join(comp.withColumnRenamed("v", "s"), "s", "left").select("t", "s", "n", "place", "reach", F.coalesce("comp", "s").alias("g"))
+    placed = shared.join(comp.withColumnRenamed("v", "s"), "s", "left").withColumn("g", F.coalesce("comp", "s")).drop("comp", "c")
     sizes = placed.groupBy("t", "g").agg(F.count(F.lit(1)).alias("m"))
     mixed = sizes.groupBy("t").agg(F.max_by("g", "m").alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     open_ = placed.join(mixed.select("t", "main"), "t").join(met.select(F.col("a").alias("s"), F.col("b").alias("z"), "o"), "s", "left")
-    # n-grams outside the centre that a partner may share, if this token is the first shared one: those before it are
-    # not shared, and at most as many of them as stand before it in the centre belong to the centre
+    # n-grams outside the centre that a partner may share, if this token is one of those asked for: of the n-grams before it all
+    # but those asked for are not shared, and at most as many as stand before it in the centre belong to the centre
     at_centre = shared.select("t", F.col("s").alias("z"), F.col("place").alias("z_place"))
-    outside = F.greatest(F.col("place") - F.col("z_place"), F.lit(0))
-    open_ = open_.join(at_centre, ["t", "z"], "left").withColumn("free", F.col("n") - F.col("o") - F.coalesce(outside, F.lit(0)))
-    open_ = cut_lineage(open_.drop("place", "z_place"))
+    outside = F.col("place") - F.col("z_place") - F.expr(f"n * {100 - percent} div {200 * MORE}")
+    open_ = open_.join(at_centre, ["t", "z"], "left").withColumn("free", F.col("n") - F.col("o") - F.greatest(outside, F.lit(0)))
+    open_ = cut_lineage(open_.drop("z_place"))
 
     def band(size):
         return F.floor(F.ln(size) / F.lit(math.log(BAND)))
 
-    side = ["t", "band", "s", "n", "reach", "g", "z", "o", "free", (F.col("g") == F.col("main")).alias("in_main")]
-    small = open_.where("reach >= n").withColumn("band", band(F.col("n"))).select(side)
+    side = ["s", "n", "place", "g", "z", "o", "free"]
+    in_main = F.col("g") == F.col("main")
+    small = open_.where("small").select("t", band(F.col("n")).alias("band"), in_main.alias("in_main"), *side)
     lowest = band(F.ceil(F.col("n") * percent / 100))
-    large = open_.withColumn("band", F.explode(F.sequence(lowest, band(F.least("n", "reach"))))).select(side)
+    large = open_.select("t", F.explode(F.sequence(lowest, band(F.col("reach")))).alias("band"), in_main.alias("in_main"), *side)
 
     def met_at(x: DataFrame, y: DataFrame) -> DataFrame:
-        x = x.select("t", "band", *[F.col(c).alias(f"a_{c}") for c in ("s", "n", "reach", "g", "z", "o", "free")])
-        y = y.select("t", "band", *[F.col(c).alias(f"b_{c}") for c in ("s", "n", "reach", "g", "z", "o", "free")])
-        need = percent * (F.col("a_n") + F.col("b_n"))
-        most = F.least("a_o", "b_o") + F.least("a_free", "b_free")  # what two sets with one centre can share
-        return (x.join(y, ["t", "band"]).where(F.col("a_g") != F.col("b_g")).where((F.col("b_n") <= F.col("a_reach")) & (F.col("a_n") <= F.col("b_reach")))
-                .where((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_s") < F.col("b_s"))))
-                .where(~F.coalesce((F.col("a_z") == F.col("b_s")) | (F.col("b_z") == F.col("a_s")), F.lit(False)))
-                .where(~F.coalesce((F.col("a_z") == F.col("b_z")) & ((100 + percent) * most < need), F.lit(False)))
-                .select(F.col("a_s").alias("a"), F.col("b_s").alias("b"), F.col("a_n").alias("na"), F.col("b_n").alias("nb")).where(near))
-
-    cross = met_at(small.where("not in_main"), large).unionByName(met_at(small.where("in_main"), large.where("not in_main"))).distinct()
+        x = x.select("t", "band", *[F.col(c).alias(d) for c, d in zip(side, ("a", "na", "pa", "ga", "za", "oa", "fa"))])
+        y = y.select("t", "band", *[F.col(c).alias(d) for c, d in zip(side, ("b", "nb", "pb", "gb", "zb", "ob", "fb"))])
+        in_order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+        compared = (F.col("za") == F.col("b")) | (F.col("zb") == F.col("a"))
+        apart = (F.col("za") == F.col("zb")) & (F.least("oa", "ob") + F.least("fa", "fb") < need)
+        return (x.join(y, ["t", "band"]).where((F.col("ga") != F.col("gb")) & in_order & near & early)
+                .where(~F.coalesce(compared | apart, F.lit(False))).select("a", "b", "na", "nb"))
+
+    cross = met_at(small.where("not in_main"), large).unionByName(met_at(small.where("in_main"), large.where("not in_main")))
+    cross = cross.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= asked).drop("m")
     cross = cut_lineage(cross)
     edges = first.unionByName(cut_lineage(overlaps(cross).where(linked).select("a", "b")))
     comp = components(edges)
