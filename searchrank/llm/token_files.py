@@ -11,8 +11,9 @@ Each id takes the minimum number of bits its vocabulary needs.  A shard file is
 * the footer has the width, counts and section positions as 64-bit integers.
 
 Shards are range partitions of the document id: shard order, and order inside a shard,
-is ascending document id (null first; rows with the same id by the hash of their text,
-which also splits an id that holds many rows over shards).  A task writes its file under
+is ascending document id (null first; rows with the same id by the hash of their text, and
+rows that repeat as a whole by their place, which also splits an id that holds many rows over shards).  Ids are
+64-bit integers; others are cast, and what cannot be cast is a null id or an error, as the session's settings have it.  A task writes its file under
 a name of its own attempt and reports it; the manifest, a Parquet table with one row per
 shard, names the files of successful tasks only, so a retried task or a lost executor
 leaves at most an unused file.  Folders are opened with ``pyarrow.fs`` (local or shared
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,7 +42,8 @@ from . import common
 MAGIC = b"TOKBITS1"
 FOOTER = struct.Struct("<7q8s")  # bits, block, ids, docs, offsets at, doc ids at, doc starts at, magic
 BLOCK = 8192
-CACHE_PIECES = 500_000
+CACHE_BYTES = 64_000_000  # of a worker's known pieces and their ids
+SLICE_BYTES = 8_000_000   # text encoded at a time
 
 
 # ---------------------------------------------------------------------- packing
@@ -86,8 +89,12 @@ class ShardWriter:
         self.at += len(data)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.doc_ids.append(NULL_ID if doc_id is None else doc_id)
-        self.starts.append(self.starts[-1] + len(ids))
+        self.add_many(np.array([NULL_ID if doc_id is None else doc_id]), np.array([len(ids)]), ids)
+
+    def add_many(self, doc_ids: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> None:
+        """Consecutive documents of ``lens`` ids each."""
+        self.doc_ids += doc_ids.tolist()
+        self.starts += (self.starts[-1] + np.cumsum(lens)).tolist()
         self.rest.append(ids)
         self.held += len(ids)
         if self.held >= 16 * BLOCK:
@@ -160,8 +167,10 @@ class LibraryEncoder:
     """Ids from the ``tokenizers`` library, remembered per white-space piece.
 
     White space is never part of a token and neither normaliser nor pre-tokeniser joins
-    over it, so a text's ids are those of its pieces in order.  New pieces go to the library
-    in joined batches; ids are attributed to pieces by the offsets it returns.
+    over it, so a text's ids are those of its pieces in order.  Arrow splits a slice of texts, numbers its distinct
+    pieces and looks them up among the known ones; new ones go to the library in joined batches, and ids are
+    attributed to pieces by the offsets it returns.  All ids of the slice are then gathered at once.  Known pieces are an Arrow
+    column, their ids one array; beyond ``CACHE_BYTES`` the less used half goes.
     """
 
     def __init__(self, spec: str):
@@ -172,38 +181,58 @@ class LibraryEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.vocab_size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.known = pa.array([], type=pa.large_string())
+        self.flat, self.lens, self.used = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        young = self.young
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids per piece) of pieces without white space."""
+        ids, lens = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)]
         for k in range(0, len(pieces), 20_000):
             part = pieces[k:k + 20_000]
             groups = [part[j:j + 250] for j in range(0, len(part), 250)]
-            texts = [b" ".join(g).decode() for g in groups]
-            for group, text, got in zip(groups, texts, self.tok.encode_batch(texts, add_special_tokens=False)):
-                lens = np.fromiter(map(len, text.split(" ")), dtype=np.int64, count=len(group))
-                ends = np.cumsum(lens + 1)
+            for group, got in zip(groups, self.tok.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+                ends = np.cumsum(np.fromiter(map(len, group), dtype=np.int64, count=len(group)) + 1)
                 starts = np.fromiter((a for a, _ in got.offsets), dtype=np.int64, count=len(got.ids))
-                cuts = np.searchsorted(starts, ends, "left").tolist()
-                ids = np.array(got.ids, dtype="<u4").tobytes()
-                for piece, a, b in zip(group, [0, *cuts], cuts):
-                    young[piece] = ids[4 * a:4 * b]
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Ids of each text as little-endian uint32 bytes."""
-        if len(self.young) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        cut = [(t or b"").split() for t in texts]
-        wanted = set().union(*cut) if cut else set()
-        wanted.difference_update(young.keys())
-        known = [w for w in wanted if w in old]
-        for w in known:
-            young[w] = old[w]
-        wanted.difference_update(known)
-        self._learn(list(wanted))
-        return [b"".join([young[w] for w in words]) for words in cut]
+                ids.append(np.array(got.ids, dtype="<u4"))
+                lens.append(np.diff(np.searchsorted(starts, ends, "left"), prepend=0))
+        return np.concatenate(ids), np.concatenate(lens)
+
+    def _forget(self) -> None:
+        keep = np.sort(np.argsort(self.used, kind="stable")[len(self.used) // 2:])
+        self.flat = self.flat[gather(self.lens, keep)]
+        self.known, self.lens, self.used = self.known.take(pa.array(keep)), self.lens[keep], self.used[keep] // 2
+
+    def places_of(self, pieces: pa.Array) -> np.ndarray:
+        """Places of distinct pieces among the known ones, new ones learnt first."""
+        if self.known.nbytes + 4 * len(self.flat) + 16 * len(self.lens) > CACHE_BYTES:
+            self._forget()
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy().astype(np.int64)
+        lost = np.flatnonzero(at < 0)
+        if len(lost):
+            new = pieces.take(pa.array(lost))
+            ids, lens = self._learn(new.to_pylist())
+            at[lost] = len(self.lens) + np.arange(len(lost))
+            self.known = pa.concat_arrays([self.known, new])
+            self.flat, self.lens = np.concatenate([self.flat, ids]), np.concatenate([self.lens, lens])
+            self.used = np.concatenate([self.used, np.zeros(len(lost), dtype=np.int64)])
+        self.used[at] += 1
+        return at
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids per text) of a string column without nulls."""
+        cut = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        words = cut.flatten().dictionary_encode()
+        place = self.places_of(words.dictionary)[words.indices.to_numpy()] if len(words) else np.zeros(0, dtype=np.int64)
+        ends = np.concatenate([[0], np.cumsum(self.lens[place])])
+        offsets = cut.offsets.to_numpy()
+        return self.flat[gather(self.lens, place)], np.diff(ends[offsets - offsets[0]])
+
+
+def gather(lens: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Indices of the chosen ones of consecutive runs of ``lens`` items, in the order chosen."""
+    first, each = np.cumsum(lens) - lens, lens[chosen]
+    ends = np.cumsum(each)
+    return np.repeat(first[chosen] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -218,6 +247,16 @@ def encoder_of(spec: str) -> LibraryEncoder:
     return _ENCODERS[key]
 
 
+def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[slice]:
+    """Consecutive slices of about ``limit`` bytes of text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield slice(at, stop)
+        at = stop
+
+
 # ----------------------------------------------------------------- Spark surface
 def open_folder(uri: str):
     """(file system, path) of a folder URI."""
@@ -239,29 +278,29 @@ def write_token_files(df: DataFrame, out_dir: str, tokenizer_path: str, end_id:
     spark = df.sparkSession
     common.ship(spark)
     spec = spark.sparkContext.broadcast(common.read_text(tokenizer_path))
-    tail = b"" if end_id is None else struct.pack("<I", end_id)
     rows = (df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-            .withColumn("h", F.xxhash64("text")))
-    rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
+            .withColumn("h", F.xxhash64("text")).withColumn("k", F.monotonically_increasing_id()))  # k cuts rows that repeat as a whole
+    rows = rows.repartitionByRange("id", "h", "k").sortWithinPartitions("id", "h").select("id", "text")
     schema = common.arrow_schema(spark.createDataFrame([], "shard int, path string, n_docs long, n_ids long").schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .bpe import slices
-
         coder = encoder_of(spec.value)
         task = TaskContext.get()
         name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}.bits"
         fs, folder = open_folder(out_dir)
         sink = writer = None
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), common.byte_values(batch.column(1))
+            ids = pc.fill_null(batch.column(0), NULL_ID).to_numpy()
+            texts = pc.fill_null(batch.column(1), "")
             for part in slices(texts):
-                for doc, got in zip(ids[part], coder.encode(texts[part])):
-                    if writer is None:
-                        fs.create_dir(folder, recursive=True)
-                        sink = fs.open_output_stream(f"{folder}/{name}")
-                        writer = ShardWriter(sink, width_of(max(coder.vocab_size, (end_id or 0) + 1)))
-                    writer.add(doc, np.frombuffer(got + tail, dtype="<u4"))
+                got, lens = coder.encode(texts.slice(part.start, part.stop - part.start))
+                if end_id is not None:
+                    got, lens = np.insert(got, np.cumsum(lens), np.uint32(end_id)), lens + 1
+                if writer is None:
+                    fs.create_dir(folder, recursive=True)
+                    sink = fs.open_output_stream(f"{folder}/{name}")
+                    writer = ShardWriter(sink, width_of(max(coder.vocab_size, (end_id or 0) + 1)))
+                writer.add_many(ids[part], lens, got)
         if writer is not None:
             writer.close()
             sink.close()
