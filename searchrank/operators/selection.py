@@ -69,21 +69,12 @@ def values_at_ranks_multi(df: DataFrame, wanted_ranks: dict[str, list[int]]
     if not wanted:
         return counts, values
     w = Window.partitionBy("_pid", "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    keys = F.struct(F.col("_pid"), F.col("_k"))
-    local = (parted.where(keys.isin([F.struct(F.lit(p), F.lit(k)) for p, k in wanted]))
-             .withColumn("_cum", F.sum("_c").over(w))
-             .withColumn("_prev", F.col("_cum") - F.col("_c")))
-    cond = None
-    for (pid, k), items in wanted.items():
-        for _, lr in items:
-            c = (F.col("_pid") == pid) & (F.col("_k") == k) & (F.col("_prev") <= lr) & (F.lit(lr) < F.col("_cum"))
-            cond = c if cond is None else cond | c
-    hits = local.where(cond).select("_pid", "_k", "_prev", "_cum", "_v").collect()
-    for (pid, k), items in wanted.items():
-        for slot, lr in items:
-            for h in hits:
-                if h["_pid"] == pid and h["_k"] == k and h["_prev"] <= lr < h["_cum"]:
-                    values[cols[k]][slot] = h["_v"]
+    asked = [(pid, k, slot, rank) for (pid, k), items in wanted.items() for slot, rank in items]  # one row per wanted rank
+    asked = F.broadcast(df.sparkSession.createDataFrame(asked, "_pid int, _k int, _slot int, _rank long"))
+    local = parted.join(asked.select("_pid", "_k").distinct(), ["_pid", "_k"], "left_semi").withColumn("_cum", F.sum("_c").over(w))
+    hits = local.join(asked, ["_pid", "_k"]).where((F.col("_cum") - F.col("_c") <= F.col("_rank")) & (F.col("_rank") < F.col("_cum")))
+    for h in hits.select("_k", "_slot", "_v").collect():
+        values[cols[h["_k"]]][h["_slot"]] = h["_v"]
     return counts, values
 
 

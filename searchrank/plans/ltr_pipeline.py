@@ -34,9 +34,9 @@ def evaluate(model: ltr.LTRModel, val: DataFrame, k: int = 5) -> DataFrame:
 
 
 def run(spark: SparkSession, train_path: str, test_path: str | None = None, out_dir: str | None = None,
-        fold: int = 0, n_trees: int = 30, max_depth: int = 5, learning_rate: float = 0.1, k: int = 5,
+        fold: int = 0, n_trees: int = 5000, max_depth: int = 12, learning_rate: float = 0.03, k: int = 5,
         model_dir: str | None = None, **params) -> LTRRun:
-    """``params`` go to :func:`ltr.fit_ltr` (leaf size, patience, row and column sample, L2, child weight).
+    """``params`` go to :func:`ltr.fit_ltr` (leaves, leaf size, patience, row and column sample, L2, child weight).
 
     With ``model_dir`` the fitted ranker is saved there under a time-stamped name.
     """

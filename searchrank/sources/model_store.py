@@ -1,8 +1,8 @@
 """Saving and loading fitted models (M5).
 
 Models are folders written by executors and MLlib writers: the ALS factors with
-``ALSModel.save``, bias and id-map tables as Parquet, ranker trees with the MLlib
-tree writer, and one JSON metadata row (parameters, creation time).  Names carry a
+``ALSModel.save``, bias and id-map tables as Parquet, a ranker's forest as a Parquet
+node table, and one JSON metadata row (parameters, creation time).  Names carry a
 timestamp (``<prefix>_YYYYmmdd_HHMM``) so the newest model is the greatest name; the
 folder listing uses the Hadoop FileSystem API, so local, HDFS and object-store
 paths behave alike.
@@ -14,9 +14,9 @@ import datetime
 import json
 
 from pyspark.ml.recommendation import ALSModel
-from pyspark.ml.regression import DecisionTreeRegressionModel
 from pyspark.sql import SparkSession
 
+from ..operators.histtree import Bins, Forest, Tree
 from ..operators.ltr import LTRModel
 from ..operators.mf import BiasModel, MFModel
 
@@ -53,22 +53,30 @@ def load_mf_model(spark: SparkSession, path: str) -> MFModel:
                    spark.read.parquet(f"{path}/item_index"))
 
 
+NODES = ["feature", "cut", "nulls_left", "left", "right", "value", "gain", "rows"]
+
+
 def save_ltr_model(spark: SparkSession, model: LTRModel, path: str) -> str:
-    for i, tree in enumerate(model.trees):
-        tree.write().overwrite().save(f"{path}/trees/{i:05d}")
-    _write_meta(spark, path, {"kind": "ltr", "features": model.features, "flagged": model.flagged,
-                              "learning_rate": model.learning_rate, "n_trees": len(model.trees),
-                              "best_iteration": model.best_iteration, "history": model.history,
-                              "columns": model.columns, "leaves": [sorted(x.items()) for x in model.leaves]})
+    """The forest as one node table and one table of bin edges, with the fit's history in the metadata."""
+    forest = model.forest
+    nodes = [(t, k, *(getattr(tree, c)[k].item() for c in NODES)) for t, tree in enumerate(forest.trees) for k in range(len(tree.feature))]
+    spark.createDataFrame(nodes, "tree int, node int, feature int, cut int, nulls_left boolean, left int, right int, value double, gain double, rows long"
+                          ).write.mode("overwrite").parquet(f"{path}/nodes")
+    edges = [(f, k, float(x)) for f, edge in enumerate(forest.bins.edges) for k, x in enumerate(edge)]
+    spark.createDataFrame(edges, "feature int, k int, edge double").write.mode("overwrite").parquet(f"{path}/edges")
+    _write_meta(spark, path, {"kind": "ltr", "features": model.features, "learning_rate": forest.learning_rate, "n_trees": len(forest.trees),
+                              "best_iteration": model.best_iteration, "history": model.history, "columns": model.columns})
     return path
 
 
 def load_ltr_model(spark: SparkSession, path: str) -> LTRModel:
     meta = _read_meta(spark, path)
-    trees = [DecisionTreeRegressionModel.load(f"{path}/trees/{i:05d}") for i in range(meta["n_trees"])]
-    return LTRModel(meta["features"], meta["flagged"], meta["learning_rate"], trees, meta["history"],
-                    meta["best_iteration"], meta.get("columns", []),
-                    [{int(k): v for k, v in x} for x in meta.get("leaves", [])])
+    edges = spark.read.parquet(f"{path}/edges").orderBy("feature", "k").toPandas()
+    bins = Bins(meta["features"], [edges.loc[edges["feature"] == f, "edge"].to_numpy(float) for f in range(len(meta["features"]))])
+    nodes = spark.read.parquet(f"{path}/nodes").orderBy("tree", "node").toPandas()  # the model itself
+    types = {"cut": "uint8", "nulls_left": bool, "value": float, "gain": float, "rows": "int64"}
+    trees = [Tree(*(one[c].to_numpy(types.get(c, "int32")) for c in NODES)) for _, one in nodes.groupby("tree", sort=True)]
+    return LTRModel(Forest(bins, meta["learning_rate"], trees), meta["history"], meta["best_iteration"], meta["columns"])
 
 
 def newest_model(spark: SparkSession, folder: str, prefix: str) -> str | None:

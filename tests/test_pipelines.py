@@ -21,7 +21,7 @@ def test_feature_and_ltr_pipelines(spark, scratch):
     tr_path, te_path = feature_pipeline.run(spark, train_csv, test_csv, os.path.join(scratch, "processed"))
     tr = spark.read.parquet(tr_path)
     assert "prop_review_score_median" in tr.columns and tr.where(F.col("prop_review_score").isNull()).count() == 0
-    run = ltr_pipeline.run(spark, tr_path, te_path, os.path.join(scratch, "out"), n_trees=3, max_depth=3)
+    run = ltr_pipeline.run(spark, tr_path, te_path, os.path.join(scratch, "out"), n_trees=3, max_depth=3, learning_rate=0.1)
     row = run.metrics.first().asDict()
     assert set(row) == {"ndcg_at_5", "ndcg_at_5_helpers", "price_baseline", "rating_baseline"}
     assert all(0.0 <= v <= 1.0 for v in row.values())
