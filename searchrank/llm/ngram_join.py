@@ -30,7 +30,7 @@ tokens that table lets through.  A fuller table lets more through and changes no
    are never made.  Two classes with one centre are left out if their overlaps with it and the n-grams that they may share
    outside it are too few.  A family of m copies costs about m comparisons instead of m * m.
 
-Both count a pair's shared tokens.  Step 2 joins by token and band of the smaller size, (members outside the token's main component) x (members), by
+Both count a pair's shared tokens.  Step 2 joins by token and band of the larger size, (members outside the token's main component) x (members), by
 sort-merge joins that adaptive execution can split.
 
 Defined results: a text of fewer than ``n`` words but not none is one n-gram; null texts and texts
@@ -80,13 +80,11 @@ class Threshold:
         need = -(-self.percent * (size + partner) // (100 + self.percent))
         return size - need + self.tokens(np.minimum(size, partner)) - 1
 
-    def places(self, size: int) -> tuple[int, int, np.ndarray]:
-        """(prefix length, places as the smaller set, largest partner up to ``size`` by place of the prefix)."""
-        partners = np.arange(self.smallest_partner(size), size + 1)
-        last = np.maximum.accumulate(self.last_place(size, partners)[::-1])[::-1]
-        prefix = min(size, int(last[0]) + 1)
-        reach = partners[0] + np.searchsorted(-last, -np.arange(prefix), "right") - 1
-        return prefix, min(prefix, int(last[-1]) + 1), reach
+    def places(self, size: int) -> tuple[int, np.ndarray]:
+        """(prefix length, largest partner by place, for the places at which the set can be the smaller one)."""
+        prefix = int(self.last_place(size, np.arange(self.smallest_partner(size), size + 1)).max()) + 1
+        last = self.last_place(size, np.arange(size, size * 100 // self.percent + 1))  # falls with the partner
+        return min(size, prefix), size + np.searchsorted(-last, -np.arange(min(size, int(last[0]) + 1)), "right") - 1
 
 
 def order_buckets(n: int) -> int:
@@ -216,7 +214,7 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
                     continue
                 done.add(s)
                 c = rank[bucket_of(x, buckets)]
-                prefix, as_small, reach = limit.places(n)
+                prefix, reach = limit.places(n)
                 first = x[np.argsort(c, kind="stable")[:prefix]].view("<i8")  # equal counts by hash
                 if let is None:
                     for v in first.tolist():
@@ -225,10 +223,11 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
                 at, usual = np.flatnonzero(in_table(let.value, first)), int(c.mean() * 100)
                 if len(at) < limit.tokens(limit.smallest_partner(n)):
                     continue
-                if np.searchsorted(at, as_small) < limit.tokens(n):
-                    as_small = 0  # too few shared tokens to be the smaller set of a pair
-                for v, place, most in zip(first[at].tolist(), at.tolist(), reach[at].tolist()):
-                    yield v, s, n, place, most, place < as_small, usual
+                most = np.zeros(prefix, dtype=np.int64)
+                if np.searchsorted(at, len(reach)) >= limit.tokens(n):  # else too few shared tokens to be the smaller set of a pair
+                    most[:len(reach)] = reach
+                for v, place, m in zip(first[at].tolist(), at.tolist(), most[at].tolist()):
+                    yield v, s, n, place, m, usual
         return run
 
     ends = (common.row_map(text, prefixes(), "t long", size=lambda r: 8)
@@ -236,32 +235,34 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
     ends = cut_lineage(ends)
     common.release(spark)  # every prefix token was moved once; only the shared ones matter from here
     let = spark.sparkContext.broadcast(bit_table(ends, "t"))
-    shared = common.row_map(text, prefixes(let), "t long, s long, n long, place long, reach long, small boolean, c long", size=lambda r: 48)
+    shared = common.row_map(text, prefixes(let), "t long, s long, n long, place long, reach long, c long", size=lambda r: 48)
     shared = cut_lineage(shared.join(ends, "t").distinct())
 
     # ------------------------------------------- vertical fragments of the sets in question
-    wanted = shared.select("s").distinct()
-    rows_let = row_table(classes.join(wanted, "s"))
-
-    def cut(batch: pa.RecordBatch):
-        for x in each_standing(batch, rows_let):
-            s, parts = set_digest(x), vertical_parts(len(x), part)
-            frag = ((x >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            at = np.searchsorted(frag, np.arange(parts + 1, dtype=np.uint64)).tolist()
-            for k in range(parts):
-                yield s, parts, k, x[at[k]:at[k + 1]].tobytes()
-            half = parts // 2  # partners just below the step have half as many fragments
-            for k in range(half):
-                yield s, half, k, x[at[2 * k]:at[2 * k + 2]].tobytes()
-
-    pieces = common.row_map(text, cut, "s long, parts int, k int, x binary",
-                            size=lambda r: 64 + len(r[3]))
-    fragments = cut_lineage(pieces.join(wanted, "s", "left_semi").dropDuplicates(["s", "parts", "k"]))
+    def fragments_of(pairs: DataFrame) -> DataFrame:
+        """``(s, parts, k, x)``: the sets of all pairs in vertical fragments."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+        rows_let = row_table(classes.join(wanted, "s"))
+
+        def cut(batch: pa.RecordBatch):
+            for x in each_standing(batch, rows_let):
+                s, parts = set_digest(x), vertical_parts(len(x), part)
+                frag = ((x >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                at = np.searchsorted(frag, np.arange(parts + 1, dtype=np.uint64)).tolist()
+                for k in range(parts):
+                    yield s, parts, k, x[at[k]:at[k + 1]].tobytes()
+                half = parts // 2  # partners just below the step have half as many fragments
+                for k in range(half):
+                    yield s, half, k, x[at[2 * k]:at[2 * k + 2]].tobytes()
+
+        pieces = common.row_map(text, cut, "s long, parts int, k int, x binary", size=lambda r: 64 + len(r[3]))
+        return cut_lineage(pieces.join(wanted, "s", "left_semi").dropDuplicates(["s", "parts", "k"]))
 
     def overlaps(pairs: DataFrame) -> DataFrame:
         """``(a, b, na, nb, o)``: partial overlaps per fragment, summed per pair."""
         full = F.expr(f"(least(na, nb) - 1) div {PART}")
         bits = F.when(full == 0, 0).otherwise(F.length(F.bin(full)))
+        fragments = fragments_of(pairs)
         todo = pairs.withColumn("parts", F.pow(F.lit(2), bits).cast("int"))
         left = fragments.select(F.col("s").alias("a"), "parts", "k", F.col("x").alias("xa"))
         right = fragments.select(F.col("s").alias("b"), "parts", "k", F.col("x").alias("xb"))
@@ -290,7 +291,8 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
             .where(F.col("a") != F.col("b")).where(near & early)
             .groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= asked)
             .groupBy("a", "na").agg(F.max(F.struct("m", "b", "nb")).alias("p")).select("a", "na", "p.b", "p.nb"))
-    met = cut_lineage(overlaps(star))
+    met = cut_lineage(overlaps(cut_lineage(star)))
+    common.release(spark)
     first = met.where(linked).select("a", "b")
     comp = components(first)
 
@@ -311,9 +313,9 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
 
     side = ["s", "n", "place", "g", "z", "o", "free"]
     in_main = F.col("g") == F.col("main")
-    small = open_.where("small").select("t", band(F.col("n")).alias("band"), in_main.alias("in_main"), *side)
-    lowest = band(F.ceil(F.col("n") * percent / 100))
-    large = open_.select("t", F.explode(F.sequence(lowest, band(F.col("reach")))).alias("band"), in_main.alias("in_main"), *side)
+    # the smaller set of a pair goes to the bands that its partners may have
+    small = open_.where("reach >= n").select("t", F.explode(F.sequence(band(F.col("n")), band(F.col("reach")))).alias("band"), in_main.alias("in_main"), *side)
+    large = open_.select("t", band(F.col("n")).alias("band"), in_main.alias("in_main"), *side)
 
     def met_at(x: DataFrame, y: DataFrame) -> DataFrame:
         x = x.select("t", "band", *[F.col(c).alias(d) for c, d in zip(side, ("a", "na", "pa", "ga", "za", "oa", "fa"))])
@@ -327,6 +329,7 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
     cross = met_at(small.where("not in_main"), large).unionByName(met_at(small.where("in_main"), large.where("not in_main")))
     cross = cross.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= asked).drop("m")
     cross = cut_lineage(cross)
+    common.release(spark)
     edges = first.unionByName(cut_lineage(overlaps(cross).where(linked).select("a", "b")))
     comp = components(edges)
 
