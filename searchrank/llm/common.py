@@ -11,6 +11,7 @@ import functools
 import gc
 import os
 import tempfile
+import time
 import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -49,9 +50,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps now: its cleaner follows the driver's collector."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark remove the shuffle files of finished steps now: its cleaner follows the driver's collector.
+
+    What the last job held becomes free in a first collection and its files go after a second one.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
