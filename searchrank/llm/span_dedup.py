@@ -12,12 +12,14 @@ to every sentence the shortest one that ends there.  A sentence of a longer run
 so spans cover what all runs cover.  Spans are hashed to 128 bits (words lower-cased A-Z) and joined
 over all documents:
 
-1. (span, document) pairs, once per text;
-2. smallest and largest document per span, combined before the shuffle, so a span that a third
-   of all documents hold is one row per task;
+1. smallest and largest document per span, combined before the shuffle, so a span that a third
+   of all documents hold is one row per task; spans with two documents set bits in a table of fixed size,
+   which is broadcast;
+2. (span, document, text, place) rows of the spans that the table lets through, once a task however often a row
+   repeats: few of all spans are moved a second time; an exact join finds the first holder of each;
 3. spans with two documents go back to every holder but the smallest, and one pass over the
    texts removes the sentences that such a span covers, or that a span covers which occurred
-   earlier in the same text.
+   earlier in the same text.  Spans are found again by their places.
 
 Rows that share a document id count as one document; null ids are one document, before all
 others.  Null and empty texts have no sentences.  Kept sentences keep their own bytes and
@@ -28,11 +30,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import shared_path
 from . import common, textnum
+from .ngram_join import bit_table, in_table
 
 LONG, WINDOW = 13, 8
 NULL_ID = -2**63
@@ -97,75 +101,109 @@ def dedup_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     docs = docs.withColumn("_h", F.xxhash64("_text"))
 
+    def found_spans(batch, done: set | None = None):
+        """(rows, places, hashes): spans of a batch's texts, each once per text; texts in ``done`` are left out."""
+        texts = common.byte_values(batch.column(2))
+        if done is not None:
+            for k, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if key in done:
+                    texts[k] = b""
+                done.add(key)
+        for part in textnum.slices(texts):
+            w = textnum.words_of(texts[part], textnum.SPACES)
+            found = [spans_of(w, w.first[j], w.first[j + 1], min_sentences, min_words)[3] for j in range(len(w.first) - 1)]
+            sizes = np.array([len(k) for k in found])
+            row = np.repeat(np.arange(len(found)), sizes)
+            one, two = np.concatenate(found).T
+            order = np.lexsort((two, one, row))
+            row, one, two = row[order], one[order], two[order]
+            new = np.ones(len(row), dtype=bool)
+            new[1:] = (row[1:] != row[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+            row = row[new]
+            yield part.start + row, order[new] - (np.cumsum(sizes) - sizes)[row], one[new], two[new]
+
     def emit(batches):
         for batch in common.small_batches(batches):
-            ids, hs, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), common.byte_values(batch.column(2))
-            for part in textnum.slices(texts):
-                w = textnum.words_of(texts[part], textnum.SPACES)
-                found = [spans_of(w, w.first[j], w.first[j + 1], min_sentences, min_words)[3] for j in range(len(ids[part]))]
-                row = np.repeat(np.arange(len(found)), [len(k) for k in found])
-                one, two = np.concatenate(found).T
-                order = np.lexsort((two, one, row))
-                row, one, two = row[order], one[order], two[order]
-                new = np.ones(len(row), dtype=bool)  # a span once per text
-                new[1:] = (row[1:] != row[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-                columns = one[new], two[new], ids[part][row[new]], hs[part][row[new]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_one", "_two", "_id", "_h"])
+            ids = batch.column(0).to_numpy()
+            for row, _, one, _ in found_spans(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(ids[row])], names=["_one", "_id"])
 
     common.ship(spark)
-    spans = docs.select("_id", "_h", "_text").mapInArrow(emit, "_one long, _two long, _id long, _h long")
-    # each step's shuffle files go before the next step writes its own
-    shared = cut_lineage(spans.groupBy("_one", "_two").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"))
-                         .where("_lo < _hi").drop("_hi"))
-    common.release(spark)
-    marks = cut_lineage(spans.join(shared, ["_one", "_two"]).groupBy("_id", "_h")
-                        .agg(F.collect_list(F.struct("_one", "_two", "_lo")).alias("_marks"))
-                        .select(F.col("_id").alias("_mid"), F.col("_h").alias("_mh"), "_marks"))
-    common.release(spark)
+    texts = docs.select("_id", "_h", "_text")
+
+    def shared_table() -> np.ndarray:
+        """Bits of the first halves of the hashes that several documents have."""
+        first = texts.mapInArrow(emit, "_one long, _id long").groupBy("_one").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"))
+        return bit_table(first.where("lo < hi"), "_one")
+
+    table = spark.sparkContext.broadcast(shared_table())
+    common.release(spark)  # that shuffle's files go before others are written
+
+    def emit_shared(batches):
+        done: set = set()  # a task's own: rows that repeat as a whole give their spans once
+        for batch in common.small_batches(batches):
+            ids, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for row, place, one, two in found_spans(batch, done):
+                let = in_table(table.value, one)
+                columns = one[let], two[let], ids[row[let]], hs[row[let]], place[let].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_one", "_two", "_id", "_h", "_place"])
+
+    path = shared_path(spark, "spans")
+    texts.mapInArrow(emit_shared, "_one long, _two long, _id long, _h long, _place int").write.parquet(path)
+    spans = spark.read.parquet(path)
+    shared = spans.groupBy("_one", "_two").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where("_lo < _hi").drop("_hi")
+    # a set: copies of a row in several tasks give the same marks
+    marks = (spans.join(shared, ["_one", "_two"]).groupBy("_id", "_h").agg(F.collect_set(F.struct("_place", "_lo")).alias("_marks"))
+             .select(F.col("_id").alias("_mid"), F.col("_h").alias("_mh"), "_marks"))
     held = docs.join(marks, (docs["_id"] == marks["_mid"]) & (docs["_h"] == marks["_mh"]), "left")
     out = (f"`{id_col}` long, n_sentences long, n_shared long, n_removed long, n_removed_words long, "
            "first_docs array<long>, kept binary")
 
     def rebuild(batch: pa.RecordBatch):
         ids, texts, marks_col = batch.column(0).to_pylist(), common.byte_values(batch.column(1)), batch.column(2)
+        sizes = pc.fill_null(pc.list_value_length(marks_col), 0).to_numpy()
+        flat, ends = marks_col.flatten(), np.cumsum(sizes)
+        places, los = flat.field(0).to_numpy(), flat.field(1).to_numpy()
         row = 0
         for part in textnum.slices(texts):
             w = textnum.words_of(texts[part], textnum.SPACES)
             for j, d in enumerate(ids[part]):
-                found = {(m["_one"], m["_two"]): m["_lo"] for m in marks_col[row].as_py() or ()}
+                mine = slice(ends[row] - sizes[row], ends[row])
                 row += 1
-                yield (None if d == NULL_ID else d, *strip(w, j, d, texts[part][j], found, min_sentences, min_words))
+                yield (None if d == NULL_ID else d, *strip(w, j, d, texts[part][j], places[mine], los[mine], min_sentences, min_words))
 
     result = common.row_map(held.select("_id", "_text", "_marks"), rebuild, out, size=lambda r: 64 + len(r[6]))
     return result.withColumn("kept", F.decode("kept", "utf-8"))
 
 
-def strip(w: textnum.Words, j: int, doc: int, text: bytes, found: dict, min_sentences: int, min_words: int):
-    """Remove from text ``j`` the sentences of non-first repeated spans."""
+def strip(w: textnum.Words, j: int, doc: int, text: bytes, places: np.ndarray, los: np.ndarray, min_sentences: int, min_words: int):
+    """Remove from text ``j`` the sentences of non-first repeated spans; ``los`` are the first holders of the spans at ``places``."""
     a, b = int(w.first[j]), int(w.first[j + 1])
     cut, first, stop, keys = spans_of(w, a, b, min_sentences, min_words)
-    m = len(cut) - 1
-    if not found and len(np.unique(keys[:, 0])) == len(keys):
+    m, n = len(cut) - 1, len(first)
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    new = np.ones(n, dtype=bool)
+    new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
+    if not len(places) and new.all():
         return m, 0, 0, 0, [], text
-    shared, gone = np.zeros(m + 1, dtype=np.int64), np.zeros(m + 1, dtype=np.int64)
-    seen: set[tuple[int, int]] = set()
-    holders: set[int] = set()
-    for i, e, key in zip(first.tolist(), stop.tolist(), map(tuple, keys.tolist())):
-        lo = found.get(key)
-        if lo is not None:
-            shared[i] += 1
-            shared[e] -= 1
-        if key in seen or (lo is not None and lo < doc):
-            gone[i] += 1
-            gone[e] -= 1
-            if lo is not None and lo < doc:
-                holders.add(lo)
-        seen.add(key)
-    is_shared, is_gone = np.cumsum(shared)[:m] > 0, np.cumsum(gone)[:m] > 0
+    kind = np.empty(n, dtype=np.int64)  # equal spans have one number
+    kind[order] = np.cumsum(new) - 1
+    holder = np.full(n, doc)
+    known = np.zeros(n, dtype=bool)
+    holder[kind[places]], known[kind[places]] = los, True
+    shared, elsewhere = known[kind], holder[kind] < doc
+    gone = elsewhere | (order[new][kind] != np.arange(n))  # a span of an earlier document, or not the first of its kind here
+
+    def covered(chosen: np.ndarray) -> np.ndarray:
+        step = np.bincount(first[chosen], minlength=m + 1) - np.bincount(stop[chosen], minlength=m + 1)
+        return np.cumsum(step)[:m] > 0
+
+    is_shared, is_gone = covered(shared), covered(gone)
     if not is_gone.any():
         return m, int(is_shared.sum()), 0, 0, [], text
     at = int(w.at[j])
     bounds = [0, *(w.starts[a + cut[1:m]] - at).tolist(), len(text)]
     kept = b"".join(text[bounds[i]:bounds[i + 1]] for i in range(m) if not is_gone[i])
+    holders = np.unique(holder[kind[elsewhere]])
     return (m, int(is_shared.sum()), int(is_gone.sum()), int(np.diff(cut)[is_gone].sum()),
-            sorted(x for x in holders if x != NULL_ID), kept)
+            holders[holders != NULL_ID].tolist(), kept)
