@@ -217,8 +217,8 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
                 prefix, reach = limit.places(n)
                 first = x[np.argsort(c, kind="stable")[:prefix]].view("<i8")  # equal counts by hash
                 if let is None:
-                    for v in first.tolist():
-                        yield (v,)
+                    for place, v in enumerate(first.tolist()):
+                        yield v, place < len(reach)
                     continue
                 at, usual = np.flatnonzero(in_table(let.value, first)), int(c.mean() * 100)
                 if len(at) < limit.tokens(limit.smallest_partner(n)):
@@ -230,8 +230,9 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
                     yield v, s, n, place, m, usual
         return run
 
-    ends = (common.row_map(text, prefixes(), "t long", size=lambda r: 8)
-            .groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("t"))
+    # of use are tokens of two sets, at a place where one of them can be the smaller set of a pair
+    ends = (common.row_map(text, prefixes(), "t long, small boolean", size=lambda r: 16)
+            .groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.max("small").alias("small")).where("m > 1 and small").select("t"))
     ends = cut_lineage(ends)
     common.release(spark)  # every prefix token was moved once; only the shared ones matter from here
     let = spark.sparkContext.broadcast(bit_table(ends, "t"))
@@ -284,9 +285,8 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
     near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
     # ---------------------------------------------------- 1. each class and its centre
-    top = shared.groupBy("t").agg(F.max(F.struct("c", (-F.col("s")).alias("b"))).alias("top"))
-    centre = top.select("t", (-F.col("top.b")).alias("b"))
-    centre = centre.join(shared.select("t", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb")), ["t", "b"])
+    top = shared.groupBy("t").agg(F.max(F.struct("c", (-F.col("s")).alias("b"), "n", "place")).alias("top"))
+    centre = cut_lineage(top.select("t", (-F.col("top.b")).alias("b"), F.col("top.n").alias("nb"), F.col("top.place").alias("pb")))
     star = (shared.select("t", F.col("s").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa")).join(centre, "t")
             .where(F.col("a") != F.col("b")).where(near & early)
             .groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= asked)
@@ -297,16 +297,16 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
     comp = components(first)
 
     # ------------------------------------------------ 2. pairs across first components
-    placed = shared.join(comp.withColumnRenamed("v", "s"), "s", "left").withColumn("g", F.coalesce("comp", "s")).drop("comp", "c")
+    about = met.select(F.col("a").alias("s"), F.col("b").alias("z"), "o").join(comp.withColumnRenamed("v", "s"), "s", "full")
+    placed = (shared.drop("c").join(about, "s", "left").withColumn("g", F.coalesce("comp", "s")).drop("comp"))
     sizes = placed.groupBy("t", "g").agg(F.count(F.lit(1)).alias("m"))
     mixed = sizes.groupBy("t").agg(F.max_by("g", "m").alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    open_ = placed.join(mixed.select("t", "main"), "t").join(met.select(F.col("a").alias("s"), F.col("b").alias("z"), "o"), "s", "left")
+    open_ = placed.join(mixed.select("t", "main").join(centre.select("t", "b", "pb"), "t"), "t")
     # n-grams outside the centre that a partner may share, if this token is one of those asked for: of the n-grams before it all
     # but those asked for are not shared, and at most as many as stand before it in the centre belong to the centre
-    at_centre = shared.select("t", F.col("s").alias("z"), F.col("place").alias("z_place"))
-    outside = F.col("place") - F.col("z_place") - F.expr(f"n * {100 - percent} div {200 * MORE}")
-    open_ = open_.join(at_centre, ["t", "z"], "left").withColumn("free", F.col("n") - F.col("o") - F.greatest(outside, F.lit(0)))
-    open_ = cut_lineage(open_.drop("z_place"))
+    outside = F.when(F.col("z") == F.col("b"), F.col("place") - F.col("pb") - F.expr(f"n * {100 - percent} div {200 * MORE}"))
+    open_ = open_.withColumn("free", F.col("n") - F.col("o") - F.greatest(outside, F.lit(0))).drop("b", "pb")
+    open_ = cut_lineage(open_)
 
     def band(size):
         return F.floor(F.ln(size) / F.lit(math.log(BAND)))
