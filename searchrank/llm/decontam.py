@@ -25,6 +25,8 @@ count as hit words but the null is not listed; rows with equal id and text get t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,20 +71,16 @@ def shingles_of(windows: DataFrame) -> DataFrame:
                           size=lambda r: 200)
 
 
-def blocks_of(shingles: DataFrame) -> list[dict[int, np.ndarray]]:
-    """Distinct shingles in sorted arrays by their word count, in blocks of bounded size.
+def blocks_of(shingles: DataFrame) -> Iterator[dict[int, np.ndarray]]:
+    """Distinct shingles in sorted arrays by their word count, in blocks of bounded size; at least one block.
 
-    A block is a hash range of the shingles with about half of ``SHINGLES_AT_ONCE``; each is read to
-    the driver and broadcast by itself.
+    A block is a hash range of the shingles with about half of ``SHINGLES_AT_ONCE``; only the one in use is on the driver.
     """
-    total = shingles.count()
-    n_blocks = -(-2 * total // SHINGLES_AT_ONCE)
-    part = shingles.withColumn("block", F.pmod(F.xxhash64("shingle"), F.lit(max(1, n_blocks))))
-    out = []
+    n_blocks = max(1, -(-2 * shingles.count() // SHINGLES_AT_ONCE))
+    part = shingles.withColumn("block", F.pmod(F.xxhash64("shingle"), F.lit(n_blocks)))
     for b in range(n_blocks):
         got = common.columns_of(part.where(F.col("block") == b).select("shingle", "s").distinct())
-        out.append({int(s): np.sort(got["shingle"][got["s"] == s].astype(np.int64).view(np.uint64)) for s in np.unique(got["s"])})
-    return out
+        yield {int(s): np.sort(got["shingle"][got["s"] == s].astype(np.int64).view(np.uint64)) for s in np.unique(got["s"])}
 
 
 def places(h: np.ndarray, s: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,6 +94,8 @@ def places(h: np.ndarray, s: int, known: np.ndarray) -> tuple[np.ndarray, np.nda
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text",
                   item_id: str = "item_id", item_text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``(id_col, *carry, n_words, n_hit, items)`` of every row; ``items`` is sorted."""
+    if clash := set(carry) & {id_col, "n_words", "n_hit", "items"}:
+        raise ValueError(f"carried columns clash with the result's: {sorted(clash)}")
     spark = docs.sparkSession
     shingles = cut_lineage(shingles_of(item_windows(items, size, item_id, item_text)))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"),
@@ -121,12 +121,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 13, id_col: str
         return run
 
     common.ship(spark)
-    counted = None
-    for block in blocks_of(shingles):
-        one = keyed.select("_text").mapInArrow(count(spark.sparkContext.broadcast(block)), "shingle long, n_seen long")
-        counted = one if counted is None else counted.unionByName(one)
-    empty = spark.createDataFrame([], "shingle long, n_seen long")
-    seen = (empty if counted is None else counted).groupBy("shingle").agg(F.sum("n_seen").alias("n_seen"))
+    seen = spark.createDataFrame([], "shingle long, n_seen long")
+    for block in blocks_of(shingles):  # a shingle is in one block
+        held = spark.sparkContext.broadcast(block)
+        one = keyed.select("_text").mapInArrow(count(held), "shingle long, n_seen long").groupBy("shingle").agg(F.sum("n_seen").alias("n_seen"))
+        seen = seen.unionByName(cut_lineage(one))
+        held.unpersist()
 
     # a window whose rarest shingle no document holds cannot occur
     rarest = F.min(F.struct(F.coalesce("n_seen", F.lit(0)).alias("n_seen"), "shingle", "offset", "s")).alias("r")
@@ -154,12 +154,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 13, id_col: str
 
     schema = (f"_id {id_type}, _h long, n_words long, "
               "found array<struct<shingle: long, at: long, around_left: int, around: binary>>")
-    marked, *more = [common.row_map(keyed, find(spark.sparkContext.broadcast(block)), schema,
-                                    size=lambda r: 64 + 240 * len(r[3])) for block in blocks_of(prefix) or [{}]]
-    marked = cut_lineage(marked)
-    seen_at = marked.where(F.size("found") > 0)
-    for other in more:
-        seen_at = seen_at.unionByName(other.where(F.size("found") > 0))
+    marked = seen_at = None
+    for block in blocks_of(prefix):
+        held = spark.sparkContext.broadcast(block)
+        one = common.row_map(keyed, find(held), schema, size=lambda r: 64 + 240 * len(r[3]))
+        one = cut_lineage(one if marked is None else one.where(F.size("found") > 0))
+        held.unpersist()
+        marked = one if marked is None else marked  # the first pass has every row
+        hit = one.where(F.size("found") > 0)
+        seen_at = hit if seen_at is None else seen_at.unionByName(hit)
 
     # 3. bounds and 4. verification
     place = seen_at.select("_id", "_h", "n_words", F.explode("found").alias("f")).select("_id", "_h", "n_words", "f.*")

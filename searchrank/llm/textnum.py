@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 SLICE_BYTES = 500_000
+BLOCK_BYTES = 1_000_000  # of a long text hashed at a time
 MULT = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 
@@ -90,10 +91,18 @@ def words_of(texts: Sequence[bytes], sep: np.ndarray, lower: bool = True) -> Wor
     inside[1:-1] = ~sep[data]
     step = np.diff(inside)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    up, down = _POWERS.get(n + 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * MULT)
+    hashes = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):  # whole words of about a block of bytes at a time; a word's hash does not depend on its place
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + BLOCK_BYTES, "right")))
+        s, e = starts[i:j] - base, ends[i:j] - base
+        size = int(e[-1])
+        up, down = _POWERS.get(size + 1)
+        total = np.zeros(size + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[data[base:base + size]] * up[:size], out=total[1:])
+        hashes[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * MULT)
+        i = j
     return Words(data, hashes, starts, ends, np.searchsorted(starts, at), at)
 
 

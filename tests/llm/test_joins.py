@@ -329,6 +329,17 @@ def brute_spans(rows, min_sentences=2, min_words=15):
     return out
 
 
+def test_thousands_of_equal_rows_and_null_ids(make_docs):
+    """Rows of one id and text, and of no id, give their spans once a task: the work does not grow with their square."""
+    rng = np.random.default_rng(17)
+    text = " ".join(sentences(rng, 120))
+    rows = [(None, text)] * 3000 + [(5, text)] + [(6, text)] * 1500 + [(7, " ".join(sentences(rng, 4)))]
+    got = span_dedup.dedup_spans(make_docs(rows)).groupBy("doc_id", "n_removed", "kept").count().collect()
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == 4 and by[None]["count"] == 3000 and by[None]["kept"] == text and by[6]["count"] == 1500
+    assert by[5]["kept"] == by[6]["kept"] == "" and by[7]["n_removed"] == 0
+
+
 def test_spans_cover_what_all_runs_cover(make_docs):
     rng = np.random.default_rng(16)
     pool = [" ".join(words(rng, int(rng.choice([1, 2, 3, 5, 8, 13])), 10**6)) + "." for _ in range(25)]
@@ -372,3 +383,31 @@ def test_url_rules_match_brute_force(spark):
             assert sorted(map(tuple, url_rules.filter_urls(pages, use).collect()), key=str) == want
         finally:
             url_rules.RULES_AT_ONCE = old
+
+
+# ------------------------------------------------------------------ long texts
+def test_texts_of_several_megabytes(spark, make_docs):
+    """One text of 20 MB is hashed block by block; texts of 3 MB go through the joins whole."""
+    import tracemalloc
+
+    from searchrank.llm import textnum
+
+    tracemalloc.start()
+    w = textnum.words_of([b"word and more "] * 1 + [b"word and more " * 1_430_000], textnum.SPACES)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 and len(np.unique(w.hashes)) == 3
+    rng = np.random.default_rng(31)
+    base = words(rng, 450_000, 10**6)
+    other = list(base)
+    other[200_000] = "changed"
+    item = " ".join(words(rng, 20))
+    rows = [(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(words(rng, 50)) + " " + item)]
+    assert len(rows[0][1]) > 3_000_000
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(make_docs(rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    spans = {r["doc_id"]: r for r in span_dedup.dedup_spans(make_docs(rows)).collect()}
+    assert spans[1]["n_removed"] == 0 and spans[2]["n_removed_words"] > 449_900 and spans[3]["n_removed"] == 0
+    bench = spark.createDataFrame([(7, item), (8, " ".join(base[449_900:449_920]))], "item_id long, text string")
+    hits = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontam.decontaminate(make_docs(rows), bench).collect()}
+    assert hits == {1: (20, ["8"]), 2: (20, ["8"]), 3: (20, ["7"])}
