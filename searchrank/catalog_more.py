@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from .catalog import K, present, r6, register
 from .functions.dates import preprocess
 from .functions.labels import graded_label
-from .operators import align, clean, features, impute, metrics, profile, split
+from .operators import align, clean, features, impute, metrics, profile, sketches, split
 from .schema import dtype_map
 from .session import shared_path
 from .sources import fixture, searchlog, sinks
@@ -90,11 +90,32 @@ t AS ({sql_typed('planted', TRAIN_COLS, True)})
 {sql_present(typed_kinds(TRAIN_COLS), 't')}
 """)
 def q_typed_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return present(searchlog.apply_dtypes(_planted_text(spark, sf_dir), is_train=True))
+
+
+_FAILING = {c: cond for c, (cond, text) in _PLANTED.items() if text not in ("NULL", "NaN")}
+_TYPED = [c for c in TRAIN_COLS if c in dtype_map(True) or VIEW_KINDS[c] == "t"]
+_FAILURES_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST(count_if({_FAILING.get(c, 'false')}"
+    + (f" OR ({c} IS NOT NULL AND TRY_CAST({c} AS {DUCK[type(dtype_map(True)[c])]}) IS NULL)" if c in dtype_map(True) else "")
+    + ") AS BIGINT) AS failures FROM log" for c in _TYPED)
+
+
+def _planted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = fixture.search_log(spark, sf_dir)
-    text = log.select(*[
+    return log.select(*[
         F.when(F.expr(_PLANTED[c][0]), F.lit(_PLANTED[c][1])).otherwise(F.col(c).cast("string")).alias(c) if c in _PLANTED
         else F.col(c).cast("string").alias(c) for c in log.columns])
-    return present(searchlog.apply_dtypes(text, is_train=True))
+
+
+@register("cast_failures", f"""
+SELECT feature, failures FROM ({_FAILURES_SQL} UNION ALL SELECT '{searchlog.MALFORMED}', 0) u
+""")
+def q_cast_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that did not fit, counted while the typed log is written from CSV."""
+    path = shared_path(spark, "planted_csv")
+    searchlog.write_raw_csv(_planted_text(spark, sf_dir), path)
+    return searchlog.write_typed(spark, path, shared_path(spark, "typed_log")).withColumnRenamed("column", "feature")
 
 
 # ----------------------------------------------------------------- U1, U2
@@ -387,6 +408,24 @@ def q_booking_rate_by_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.booking_rate_by_sort(_train(spark, sf_dir))
 
 
+_MISSING_SQL = " UNION ALL ".join(
+    f"SELECT 'missing_values' AS report, '{c}' AS item, count(*) - count({c}) AS n, count(*) AS total FROM train" for c in TRAIN_COLS)
+_ZEROS_SQL = " UNION ALL ".join(
+    f"SELECT 'zero_values', '{c}', count_if({c} = 0), count(*) FROM train" for c in profile.SIGNIFICANT_ZERO_COLUMNS)
+
+
+@register("all_reports", f""",
+u AS (SELECT * FROM ({_MISSING_SQL}) m WHERE n > 0 UNION ALL {_ZEROS_SQL} UNION ALL
+      SELECT 'click_booking_relation', concat(click_bool, '/', booking_bool), count(*), sum(count(*)) OVER () FROM train
+      WHERE click_bool IS NOT NULL AND booking_bool IS NOT NULL GROUP BY click_bool, booking_bool UNION ALL
+      SELECT 'booking_rates_by_sort', CAST(random_bool AS VARCHAR), sum(booking_bool), count(booking_bool) FROM train GROUP BY random_bool)
+SELECT report, item, CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total, round_even(CAST(n AS DOUBLE) / total * 100.0, 2) AS pct FROM u
+""")
+def q_all_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exploratory reports from one scan of the log."""
+    return profile.all_reports(_train(spark, sf_dir)).select("report", "item", "n", "total", "pct")
+
+
 @register("stay_vs_price", """
 SELECT srch_id, prop_id, srch_length_of_stay, round(price_usd, 6) AS price_usd,
        round(CASE WHEN price_usd > 0 THEN log10(price_usd) END, 6) AS log10_price
@@ -442,10 +481,18 @@ def q_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(out)
 
 
-@register("column_profile_approx", None)
+_SKETCH_SQL = " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n, count(DISTINCT CAST({c} AS DOUBLE)) AS d FROM train" for c in _PROFILE_COLS)
+
+
+@register("column_profile_approx", f"""
+SELECT feature, CAST(n AS BIGINT) AS n, CAST(d AS BIGINT) AS exact_distinct, true AS distinct_ok, true AS quartiles_ok FROM ({_SKETCH_SQL}) u
+""")
 def q_column_profile_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = profile.column_profile_approx(_train(spark, sf_dir), _PROFILE_COLS).withColumnRenamed("column", "feature")
-    return present(out)
+    """Sketches stored by part, merged without a rescan, and held against the exact values."""
+    train, path = _train(spark, sf_dir), shared_path(spark, "sketches")
+    sketches.sketch_columns(train, _PROFILE_COLS, F.pmod("srch_id", F.lit(4))).write.parquet(path)
+    found = sketches.sketched_profile(spark.read.parquet(path))
+    return sketches.within_stated_errors(train, _PROFILE_COLS, found).withColumnRenamed("column", "feature")
 
 
 # ----------------------------------------------------------------- M1, M2
@@ -472,6 +519,22 @@ def q_group_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("fold").agg(F.count_distinct("srch_id").alias("searches"), F.count(F.lit(1)).alias("n_rows"))
 
 
+@register("group_kfold_balanced", """,
+g AS (SELECT srch_id, count(*) AS n_rows, row_number() OVER (ORDER BY count(*) DESC, srch_id) AS i FROM train GROUP BY srch_id),
+deal AS (
+  WITH RECURSIVE d(i, fold, loads) AS (
+    SELECT CAST(0 AS BIGINT), 0, [0, 0, 0, 0, 0]::BIGINT[] UNION ALL
+    SELECT g.i, list_position(d.loads, list_min(d.loads)) - 1,
+           list_transform(d.loads, lambda x, k: CASE WHEN k = list_position(d.loads, list_min(d.loads)) THEN x + g.n_rows ELSE x END)
+    FROM d JOIN g ON g.i = d.i + 1)
+  SELECT i, fold FROM d WHERE i > 0)
+SELECT g.srch_id, g.n_rows, CAST(deal.fold AS INTEGER) AS fold FROM g JOIN deal USING (i)
+""")
+def q_group_kfold_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches dealt greedily to five folds of even row counts."""
+    return split.balanced_folds(_train(spark, sf_dir))
+
+
 @register("group_kfold_hash", f"""
 SELECT CAST({_md5_bucket_sql("CAST(srch_id AS VARCHAR)", 5)} AS INTEGER) AS fold, count(DISTINCT srch_id) AS searches, count(*) AS n_rows
 FROM train GROUP BY 1

@@ -13,15 +13,15 @@ range-partitioned histogram, so no task holds all values of a property.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ITEM_COL, NON_FEATURE_COLUMNS, property_columns
 from ..sources.searchlog import apply_dtypes
 from .align import align_columns
 from .impute import mean_fill, median_fill
-from .selection import group_medians
-from .skew import find_hot, join_per_key
+from .selection import MEDIAN_ROWS, hot_group_medians
+from .skew import HotKeys, find_hot, join_per_key, split_by_keys
 
 DERIVED_SUFFIXES = ("_mean", "_median", "_std")
 
@@ -32,27 +32,38 @@ def base_property_columns(df: DataFrame) -> list[str]:
 
 
 def property_stats(df: DataFrame, cols: list[str], mean: bool = True, median: bool = True,
-                   std: bool = True, key: str = ITEM_COL) -> DataFrame:
-    """One row per property: means and deviations by one aggregate, exact medians by histogram."""
-    exprs: list[Column] = []
-    if mean:
-        exprs += [F.avg(F.col(c).cast("double")).alias(f"{c}_mean") for c in cols]
-    if std:
-        exprs += [F.stddev_samp(F.col(c).cast("double")).alias(f"{c}_std") for c in cols]
-    medians = group_medians(df, key, cols, [f"{c}_median" for c in cols]) if median else None
-    if not exprs:
-        return medians
-    stats = df.groupBy(key).agg(*exprs)
-    if medians is None:
-        return stats
-    names = [key] + [f"{c}_{s}" for s, on in (("mean", mean), ("median", median), ("std", std)) if on for c in cols]
-    return stats.join(medians, key, "left").select(*names)
+                   std: bool = True, key: str = ITEM_COL, hot: HotKeys | None = None) -> DataFrame:
+    """One row per property: means, medians and deviations by one aggregate, medians of hot properties by histogram."""
+    flags = (("mean", mean, F.avg), ("median", median, F.median), ("std", std, F.stddev_samp))
+
+    def stats(rows: DataFrame, *without: str) -> DataFrame:
+        exprs = [fn(F.col(c).cast("double")).alias(f"{c}_{s}") for s, on, fn in flags if on and s not in without for c in cols]
+        return rows.groupBy(key).agg(*exprs) if exprs else rows.select(key).distinct()
+
+    if not median:
+        return stats(df)
+    hot = find_hot(df, key, MEDIAN_ROWS) if hot is None else hot
+    normal, heavy = split_by_keys(df, HotKeys(hot.keys, hot.count), key)
+    out = stats(normal)
+    if hot.count:
+        medians = hot_group_medians(heavy, key, cols, [f"{c}_median" for c in cols])
+        out = out.unionByName(stats(heavy, "median").join(medians, key, "left"))
+    return out
+
+
+def hot_properties(*frames: DataFrame, key: str = ITEM_COL) -> HotKeys:
+    """Properties above ``MEDIAN_ROWS`` rows in all frames together: one pass, good for each of them."""
+    keys = frames[0].select(key)
+    for df in frames[1:]:
+        keys = keys.unionByName(df.select(key))
+    return find_hot(keys, key, MEDIAN_ROWS)
 
 
 def _combined_stat(train: DataFrame, test: DataFrame, cols: list[str], **flags) -> tuple[DataFrame, DataFrame]:
     a, b = align_columns(train, test)
-    stats = property_stats(a.unionByName(b), cols, **flags)
-    return join_per_key(a, stats, ITEM_COL, "left"), stats
+    hot = hot_properties(a, b)
+    stats = property_stats(a.unionByName(b), cols, hot=hot, **flags)
+    return join_per_key(a, stats, ITEM_COL, "left", hot=hot), stats
 
 
 def add_mean_features(train: DataFrame, test: DataFrame, cols: list[str]) -> DataFrame:
@@ -76,17 +87,16 @@ def feature_engineering(train: DataFrame, test: DataFrame, fill_means: bool = Tr
         train = apply_dtypes(train, is_train=True)
         test = apply_dtypes(test, is_train=False)
     cols = agg_columns if agg_columns is not None else base_property_columns(train)
-    # imputation keeps every row and key: hot properties are found once per set
-    hot_tr, hot_te = find_hot(train, ITEM_COL), find_hot(test, ITEM_COL)
+    hot = hot_properties(train, test)  # imputation keeps every row and key
     if fill_means:
-        train, test = mean_fill(train, cols, hot=hot_tr), mean_fill(test, cols, hot=hot_te)
+        train, test = mean_fill(train, cols, hot=hot), mean_fill(test, cols, hot=hot)
     if fill_medians:
-        train, test = median_fill(train, cols, hot=hot_tr), median_fill(test, cols, hot=hot_te)
+        train, test = median_fill(train, cols, hot=hot), median_fill(test, cols, hot=hot)
     train, test = align_columns(train, test)
     if add_mean or add_median or add_std:
-        stats = property_stats(train.unionByName(test), cols, add_mean, add_median, add_std)
-        train = join_per_key(train, stats, ITEM_COL, "left", hot=hot_tr)
-        test = join_per_key(test, stats, ITEM_COL, "left", hot=hot_te)
+        stats = property_stats(train.unionByName(test), cols, add_mean, add_median, add_std, hot=hot)
+        train = join_per_key(train, stats, ITEM_COL, "left", hot=hot)
+        test = join_per_key(test, stats, ITEM_COL, "left", hot=hot)
     return train, test
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.labels import click_booking_category, sort_type_label
 from ..schema import GROUP_COL, SIGNIFICANT_ZERO_COLUMNS
+from ..session import cut_lineage
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -81,14 +82,51 @@ def stay_vs_price(df: DataFrame) -> DataFrame:
                     F.when(F.col("price_usd") > 0, F.log10(F.col("price_usd"))).alias("log10_price")))
 
 
+def all_reports(df: DataFrame) -> DataFrame:
+    """``(report, item, n, total, pct, click_bool, booking_bool, random_bool)``: A8-A11 in one scan.
+
+    Grouping sets give the rows of both group reports and one row of the whole table, whose counters of nulls and zeros are
+    stacked; all of them are partial sums before the shuffle.  The result has a few rows, whatever the input.
+    """
+    zeros = [c for c in SIGNIFICANT_ZERO_COLUMNS if c in df.columns]
+    keys = ["click_bool", "booking_bool", "random_bool"]
+    agg = df.groupingSets([[F.col("click_bool"), F.col("booking_bool")], [F.col("random_bool")], []], *[F.col(c) for c in keys]).agg(
+        F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("_rows"), F.count("booking_bool").alias("_known"),
+        F.sum("booking_bool").cast("long").alias("_booked"),
+        *[F.count_if(F.col(c).isNull()).alias(f"_m_{c}") for c in df.columns], *[F.count_if(F.col(c) == 0).alias(f"_z_{c}") for c in zeros])
+    pair, sort, whole = F.col("_set") == 1, F.col("_set") == 6, F.col("_set") == 7
+    labelled = pair & F.col("click_bool").isNotNull() & F.col("booking_bool").isNotNull()
+    agg = agg.withColumn("_pairs", F.sum(F.when(labelled, F.col("_rows"))).over(Window.partitionBy()))  # a few rows
+
+    def entry(report: str, item, n, total):
+        return F.struct(F.lit(report).alias("report"), item.cast("string").alias("item"), n.cast("long").alias("n"), total.cast("long").alias("total"))
+
+    rows = F.col("_rows")
+    entries = (F.when(whole, F.array(*[entry("missing_values", F.lit(c), F.col(f"_m_{c}"), rows) for c in df.columns],
+                                     *[entry("zero_values", F.lit(c), F.col(f"_z_{c}"), rows) for c in zeros]))
+               .when(labelled, F.array(entry("click_booking_relation", F.concat_ws("/", "click_bool", "booking_bool"), rows, F.col("_pairs"))))
+               .when(sort, F.array(entry("booking_rates_by_sort", F.col("random_bool"), F.col("_booked"), F.col("_known")))))
+    out = agg.select(*keys, F.explode(entries).alias("e")).select("e.*", *keys)
+    out = out.where((F.col("report") != "missing_values") | (F.col("n") > 0))
+    return out.select("report", "item", "n", "total", _pct(F.col("n"), F.col("total")).alias("pct"), *keys)
+
+
 def run_all_analyses(df: DataFrame) -> dict[str, DataFrame]:
-    """All exploratory tables over one (cached) input."""
+    """All exploratory tables (A12): four from one scan, made once, and the booked rows."""
+    reports = cut_lineage(all_reports(df))
+
+    def of(name: str) -> DataFrame:
+        return reports.where(F.col("report") == name)
+
     return {
-        "missing_values": missing_profile(df),
-        "zero_values": zero_profile(df),
-        "click_booking_relation": click_booking(df),
+        "missing_values": of("missing_values").select(F.col("item").alias("column"), F.col("n").alias("missing"), "pct"),
+        "zero_values": of("zero_values").select(F.col("item").alias("column"), F.col("n").alias("zeros"), "pct"),
+        "click_booking_relation": of("click_booking_relation").select("click_bool", "booking_bool", F.col("n").alias("count"),
+                                                                      click_booking_category().alias("category"), "pct"),
         "stay_vs_price": stay_vs_price(df),
-        "booking_rates_by_sort": booking_rate_by_sort(df),
+        "booking_rates_by_sort": of("booking_rates_by_sort").select("random_bool", F.col("total").alias("total_properties"),
+                                                                    F.col("n").alias("booked_properties"), F.col("pct").alias("booking_rate"),
+                                                                    sort_type_label().alias("sort_type")),
     }
 
 

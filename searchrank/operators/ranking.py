@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import GROUP_COL
-from .skew import DEFAULT_HOT_ROWS  # groups above this are ranked by the distributed path
+from .skew import DEFAULT_HOT_ROWS, HotKeys, find_hot, split_by_keys  # groups above this are ranked by the distributed path
 
 DEFAULT_TIEBREAK = ("prop_id", "price_usd")
 
@@ -44,26 +44,17 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int, group: str = GROUP_COL
 
 
 def rank_within(df: DataFrame, order: Sequence[Column], group: str = GROUP_COL,
-                rank_col: str = "rank", hot_threshold: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
+                rank_col: str = "rank", hot_threshold: int | None = DEFAULT_HOT_ROWS, hot: HotKeys | None = None) -> DataFrame:
     """Rank every row of its group (1-based, dense positions, total order).
 
     Groups above ``hot_threshold`` rows are ranked by a distributed sort instead of
     a per-group window; finding them costs one partial-aggregate count pass.  With
-    ``hot_threshold=None`` every group goes through the window.
+    ``hot_threshold=None`` every group goes through the window.  ``hot`` passes hot groups found earlier.
     """
     w = Window.partitionBy(group).orderBy(*order)
-    if hot_threshold is None:
-        return df.withColumn(rank_col, F.row_number().over(w).cast("long"))
-    return _rank_split_hot(df, order, group, rank_col, hot_threshold)
-
-
-def _rank_split_hot(df: DataFrame, order: Sequence[Column], group: str, rank_col: str,
-                    hot_threshold: int) -> DataFrame:
-    from .skew import find_hot, split_by_keys
-
-    hot = find_hot(df, group, hot_threshold)
-    w = Window.partitionBy(group).orderBy(*order)
-    if not hot.count and not hot.null:
+    if hot is None and hot_threshold is not None:
+        hot = find_hot(df, group, hot_threshold)
+    if hot is None or not hot.count and not hot.null:
         return df.withColumn(rank_col, F.row_number().over(w).cast("long"))
     normal, heavy = split_by_keys(df, hot, group)
     ranked_normal = normal.withColumn(rank_col, F.row_number().over(w).cast("long"))

@@ -25,6 +25,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .skew import HotKeys, find_hot, split_by_keys
+
+# A key with more rows than this has its medians found by distributed selection.
+MEDIAN_ROWS = 100_000
 
 
 def values_at_ranks(df: DataFrame, col: str, ranks: Sequence[int]) -> tuple[int, list[float | None]]:
@@ -113,16 +117,30 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]
     return out
 
 
-def group_medians(df: DataFrame, key: str, cols: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """``(key, *names)``: exact median of every column per key, without a value map per key.
+def group_medians(df: DataFrame, key: str, cols: Sequence[str], names: Sequence[str], hot: HotKeys | None = None,
+                  hot_rows: int = MEDIAN_ROWS) -> DataFrame:
+    """``(key, *names)``: exact median of every column per key; keys without any value are left out.
+
+    A key of up to ``hot_rows`` rows is one aggregate, whose memory that bounds.  Hotter keys (``hot``, if found
+    earlier) take :func:`hot_group_medians`.  Rows with a NULL key are left out (they match nothing in a join).
+    """
+    df = df.where(F.col(key).isNotNull())
+    hot = find_hot(df, key, hot_rows) if hot is None else hot
+    normal, heavy = split_by_keys(df, HotKeys(hot.keys, hot.count), key)
+    out = normal.groupBy(key).agg(*[F.median(F.col(c).cast("double")).alias(n) for c, n in zip(cols, names)])
+    if hot.count:
+        out = out.unionByName(hot_group_medians(heavy, key, cols, names))
+    return out.dropna(how="all", subset=list(names))
+
+
+def hot_group_medians(df: DataFrame, key: str, cols: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """``(key, *names)``: exact medians without a value map per key.
 
     1. Histogram ``(key, column, value) -> count``, combined before the shuffle.
     2. Range partitions of the histogram: a key with very many distinct values is cut over
        several of them.  Checkpointed, so that partition ids are stable.
     3. Running counts inside each partition, plus the group's count in earlier partitions, place
        every value; the values at the two middle ranks are averaged.
-
-    Rows with a NULL key are left out (they match nothing in a join).
     """
     pairs = df.where(F.col(key).isNotNull()).select(key, F.explode(F.array(*[
         F.struct(F.lit(i).alias("_k"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)

@@ -1,15 +1,12 @@
-"""Exploratory tables over one cached log (the data behind the original figures)."""
+"""Exploratory tables over the log (the data behind the original figures)."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..operators.profile import column_profile, run_all_analyses
 
 
 def run(df: DataFrame) -> dict[str, DataFrame]:
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = run_all_analyses(cached)
-    out["column_profile"] = column_profile(cached)
-    return out
+    """Every report; nothing stays cached."""
+    return run_all_analyses(df) | {"column_profile": column_profile(df)}

@@ -12,6 +12,7 @@ from ..functions.dates import preprocess
 from ..operators import features, ltr, metrics, split
 from ..schema import TARGET_COL
 from ..sources import model_store
+from ..sources.registry import Registry
 from ..sources.sinks import generate_submission, log_evaluation_summary, metrics_frame, read_processed
 
 
@@ -38,7 +39,7 @@ def run(spark: SparkSession, train_path: str, test_path: str | None = None, out_
         model_dir: str | None = None, **params) -> LTRRun:
     """``params`` go to :func:`ltr.fit_ltr` (leaves, leaf size, patience, row and column sample, L2, child weight).
 
-    With ``model_dir`` the fitted ranker is saved there under a time-stamped name.
+    With ``model_dir`` the fitted ranker is published there as the newest version.
     """
     train = preprocess(read_processed(spark, train_path))
     fit, val = split.group_kfold(train, 5, fold)
@@ -46,7 +47,7 @@ def run(spark: SparkSession, train_path: str, test_path: str | None = None, out_
     model = ltr.fit_ltr(fit, feats, TARGET_COL, valid=val, k=k, n_trees=n_trees, max_depth=max_depth,
                         learning_rate=learning_rate, **params)
     if model_dir:
-        model_store.save_ltr_model(spark, model, f"{model_dir.rstrip('/')}/{model_store.model_name('ranker')}")
+        Registry(spark, model_dir, "ranker").publish(lambda folder: model_store.save_ltr_model(spark, model, folder))
     row = evaluate(model, val, k)
     path = None
     if out_dir:
@@ -61,7 +62,7 @@ def run(spark: SparkSession, train_path: str, test_path: str | None = None, out_
 
 def predict(spark: SparkSession, test_path: str, out_dir: str, model_dir: str) -> str:
     """Rank the test table with the newest ranker saved under ``model_dir``."""
-    path = model_store.newest_model(spark, model_dir, "ranker")
+    path = Registry(spark, model_dir, "ranker").newest()
     if path is None:
         raise FileNotFoundError(f"no saved ranker under {model_dir}")
     test = preprocess(read_processed(spark, test_path))

@@ -7,13 +7,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import mf, split
 from ..sources import model_store
+from ..sources.registry import Registry
 from ..sources.sinks import generate_submission, read_processed, write_processed
 
 
 def make_dataset(train: DataFrame, test: DataFrame, out_dir: str) -> tuple[str, str]:
+    """Write both tables as one published version; returns their paths."""
     ratings, pairs = mf.preprocess_data(train, test)
-    out = out_dir.rstrip("/")
-    return write_processed(ratings, f"{out}/ratings"), write_processed(pairs, f"{out}/test_pairs")
+
+    def write(folder: str) -> None:
+        write_processed(ratings, f"{folder}/ratings")
+        write_processed(pairs, f"{folder}/test_pairs")
+
+    path = Registry(train.sparkSession, out_dir, "mf_tables").publish(write)
+    return f"{path}/ratings", f"{path}/test_pairs"
+
+
+def newest_dataset(spark: SparkSession, out_dir: str) -> tuple[str, str]:
+    """Paths of the newest published tables."""
+    path = Registry(spark, out_dir, "mf_tables").newest()
+    if path is None:
+        raise FileNotFoundError(f"no published tables under {out_dir}")
+    return f"{path}/ratings", f"{path}/test_pairs"
 
 
 def train(spark: SparkSession, ratings_path: str, tune: bool = False, model_dir: str | None = None,
@@ -27,7 +42,7 @@ def train(spark: SparkSession, ratings_path: str, tune: bool = False, model_dir:
     fit, held = split.random_split(ratings, 20, 42)
     model = mf.fit_mf(fit, **params)
     if model_dir:
-        model_store.save_mf_model(model, f"{model_dir.rstrip('/')}/{model_store.model_name('svd_model')}")
+        Registry(spark, model_dir, "svd_model").publish(lambda folder: model_store.save_mf_model(model, folder))
     return model, mf.rating_error(mf.predict_mf(model, held))
 
 
@@ -35,7 +50,7 @@ def predict(spark: SparkSession, model: mf.MFModel | None, pairs_path: str, out_
             model_dir: str | None = None) -> str:
     """Rank test pairs; without a model, the newest one saved under ``model_dir`` is used."""
     if model is None:
-        path = model_store.newest_model(spark, model_dir, "svd_model") if model_dir else None
+        path = Registry(spark, model_dir, "svd_model").newest() if model_dir else None
         if path is None:
             raise FileNotFoundError(f"no saved model under {model_dir}")
         model = model_store.load_mf_model(spark, path)

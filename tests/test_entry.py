@@ -16,4 +16,4 @@ def test_oracles_are_registered_queries():
     assert set(E.oracle_sql()) <= set(E.queries())
     q, o = catalog.queries(), catalog.oracle_sql()
     assert set(q) <= set(E.queries()) and set(o) <= set(E.oracle_sql())
-    assert set(q) - set(o) == {"column_profile_approx", "mf_scores", "mf_tune", "ltr_rank", "xrank"}
+    assert set(q) - set(o) == {"mf_scores", "mf_sgd_scores", "mf_epoch_error", "mf_tune", "ltr_rank", "xrank"}

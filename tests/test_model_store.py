@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from searchrank.operators import ltr, mf
 from searchrank.sources import model_store
@@ -40,3 +41,39 @@ def test_ltr_round_trip(spark, scratch):
     a = sorted(r[0] for r in ltr.predict_ltr(model, df).select("pred").collect())
     b = sorted(r[0] for r in ltr.predict_ltr(loaded, df).select("pred").collect())
     assert np.allclose(a, b)
+
+
+def test_publishers_get_numbers_of_their_own(spark, scratch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from searchrank.sources.registry import Registry
+
+    def publish(k):
+        return Registry(spark, scratch, "model").publish(lambda folder: spark.range(k, k + 1).write.parquet(f"{folder}/part"))
+
+    with ThreadPoolExecutor(4) as pool:
+        paths = list(pool.map(publish, range(8)))
+    registry = Registry(spark, scratch, "model")
+    assert len(set(paths)) == 8 and registry.versions() == list(range(1, 9))
+    assert sorted(spark.read.parquet(f"{p}/part").first()[0] for p in paths) == list(range(8))
+    last = publish(99)
+    assert registry.newest() == last and spark.read.parquet(f"{last}/part").first()[0] == 99
+    assert Registry(spark, scratch, "other").newest() is None and Registry(spark, f"{scratch}/none", "model").versions() == []
+
+
+def test_a_publisher_that_dies_is_not_seen(spark, scratch):
+    from searchrank.sources.registry import Registry
+
+    registry = Registry(spark, scratch, "model")
+    first = registry.publish(lambda folder: spark.range(1).write.parquet(folder))
+
+    def dies(folder):
+        spark.range(2).write.parquet(folder)
+        raise RuntimeError("lost")
+    with pytest.raises(RuntimeError):
+        registry.publish(dies)
+    assert registry.newest() == first
+    registry.claim()  # one that dies after it took a number
+    assert registry.newest() == first
+    again = registry.publish(lambda folder: spark.range(3).write.parquet(folder))
+    assert registry.newest() == again and registry.versions() == [1, 3] and spark.read.parquet(again).count() == 3

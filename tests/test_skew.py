@@ -67,8 +67,31 @@ def test_group_medians_with_a_hot_property(spark):
     rows += [(int(k), float(v), float(v)) for k in range(2, 50) for v in rng.integers(0, 5, rng.integers(1, 9))]
     rows += [(99, None, None), (None, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "prop_id long, a double, b double").repartition(4)
-    got = {r["prop_id"]: (r["ma"], r["mb"]) for r in selection.group_medians(df, "prop_id", ["a", "b"], ["ma", "mb"]).collect()}
+    for hot_rows in (1000, 10**6):  # with and without a hot property
+        check_medians(df, rows, hot_rows)
+
+
+def check_medians(df, rows, hot_rows):
+    got = {r["prop_id"]: (r["ma"], r["mb"]) for r in selection.group_medians(df, "prop_id", ["a", "b"], ["ma", "mb"], hot_rows=hot_rows).collect()}
     want = pd.DataFrame(rows, columns=["k", "a", "b"]).dropna(subset=["k"]).groupby("k").median()
     assert set(got) == {int(k) for k in want.index} - {99}
     for k, (a, b) in got.items():
         assert abs(a - want.loc[k, "a"]) < 1e-12 and abs(b - want.loc[k, "b"]) < 1e-12
+
+
+def test_property_statistics_with_hot_properties(spark, monkeypatch):
+    from searchrank.operators import features, impute
+
+    rng = np.random.default_rng(5)
+    rows = [(k % 60, int(rng.choice([1, 1, 1, 2, 3, 4])), *[float(x) if rng.random() < 0.8 else None for x in rng.integers(0, 9, 2)]) for k in range(900)]
+    rows += [(7, None, 1.0, None), (8, 50, None, None)]
+    df = spark.createDataFrame(rows, "srch_id int, prop_id int, prop_a double, prop_b double").repartition(3)
+    cols = ["prop_a", "prop_b"]
+
+    def result():
+        out = [features.property_stats(df, cols), impute.median_fill(df, cols), features.add_median_features(df, df.drop("srch_id"), cols)]
+        return [sorted([tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in o.select(sorted(o.columns)).collect()], key=str) for o in out]
+    plain = result()
+    for module in (features, impute):
+        monkeypatch.setattr(module, "MEDIAN_ROWS", 200)  # property 1 is hot
+    assert result() == plain
