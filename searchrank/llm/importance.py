@@ -4,7 +4,7 @@ A text's n-grams are its words, its pairs of neighbouring words and its runs of
 hashed into ``BUCKETS`` buckets.  Two multinomials over the buckets of each kind are counted:
 
 * raw: every row of the corpus;
-* target: the trusted rows (up to ``trusted.TRUSTED_ROWS``; a tenth, by hash of their id, is held out).
+* target: the trusted rows (all but a tenth, by hash of their id, that is held out).
 
 A text's score is the sum over kinds of the mean log ratio of its n-grams, so it is normalised by
 length.  Counts are added per task, then summed by bucket; the two tables have a fixed
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..operators.selection import nearest_quantiles
 from ..session import cut_lineage
 from . import common, textnum
-from .trusted import among, fit_hashes, held_out, id_hash, trusted_ids
+from .trusted import held_out, trusted_ids, with_fit
 
 BUCKETS = 1 << 18
 KINDS = 3
@@ -63,15 +63,13 @@ def features(w: textnum.Words) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(one, w.first), (two[inside], first_two), (bucket(textnum.mix(run[within] + np.uint64(77))), first_run)]
 
 
-def counts(rows: DataFrame, fit: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+def counts(rows: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(k, raw, target)``: n-grams per bucket (kind * BUCKETS + bucket) over all rows, and over the
-    rows whose id hash is in ``fit``, in one pass."""
-    known = rows.sparkSession.sparkContext.broadcast(fit)
-
+    trusted ones to fit on, in one pass."""
     def run(batches):
         seen = np.zeros((2, KINDS * BUCKETS), dtype=np.int64)
         for batch in common.small_batches(batches):
-            trusted = among(batch.column(0).to_numpy(), known.value)
+            trusted = batch.column(0).to_pylist()
             texts = [t or b"" for t in common.byte_values(batch.column(1))]
             for which, chosen in enumerate(([t for t, x in zip(texts, trusted) if not x], [t for t, x in zip(texts, trusted) if x])):
                 for part in textnum.slices(chosen):
@@ -82,7 +80,8 @@ def counts(rows: DataFrame, fit: np.ndarray, id_col: str, text_col: str) -> Data
                                          names=["k", "raw", "target"])
 
     common.ship(rows.sparkSession)
-    return (rows.select(id_hash(id_col).alias("h"), F.col(text_col).cast("string")).mapInArrow(run, "k int, raw long, target long")
+    flagged = with_fit(rows.select(id_col, text_col), labels, id_col)
+    return (flagged.select("_fit", F.col(text_col).cast("string")).mapInArrow(run, "k int, raw long, target long")
             .groupBy("k").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
 
 
@@ -129,7 +128,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.002, margin: f
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, threshold, base_failed, kept)``."""
     spark = docs.sparkSession
-    table = log_ratios(counts(docs, fit_hashes(labels), id_col, text_col))
+    table = log_ratios(counts(docs, labels, id_col, text_col))
     table = spark.sparkContext.broadcast(table)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     id_type = rows.schema["_id"].dataType.simpleString()

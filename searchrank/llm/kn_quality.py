@@ -4,8 +4,8 @@ The model is over characters (order ``ORDER``): white space is one symbol, digit
 keep their case, code points above 2047 share 1024 symbols.  An n-gram is one 64-bit integer of
 12-bit symbols, so contexts and suffixes are shifts and masks.
 
-1. *Counts.*  One pass gathers the distinct n-grams of the whole corpus, with their counts in the trusted rows (up
-   to ``trusted.TRUSTED_ROWS``; a tenth, by hash of the id, is held out for the thresholds).  Each task merges its
+1. *Counts.*  One pass gathers the distinct n-grams of the whole corpus, with their counts in the trusted rows (all
+   but a tenth, by hash of the id, that is held out for the thresholds).  Each task merges its
    own, one aggregation the tasks.  Lower orders are continuation counts: aggregations of the
    distinct n-grams of the order above.
 2. *Probabilities by count joins.*  Discounts come from each order's counts of counts.  Every
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import common, textnum
-from .trusted import among, fit_hashes, held_out, id_hash, trusted_ids
+from .trusted import held_out, trusted_ids, with_fit
 
 ORDER = 5
 BITS = 12
@@ -81,12 +81,12 @@ def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[keep], first
 
 
-def gram_counts(rows: DataFrame, fit: np.ndarray | None, id_col: str, text_col: str) -> DataFrame:
-    """``(g, c, m)``: every n-gram of all rows with its count in the rows whose id hash is in ``fit`` and in all.
+def gram_counts(rows: DataFrame, labels: DataFrame | None, id_col: str, text_col: str) -> DataFrame:
+    """``(g, c, m)``: every n-gram of all rows with its count in the trusted rows to fit on and in all.
 
-    ``None`` counts all rows.  A task's n-grams are merged before they leave it.
+    Without ``labels`` all rows are.  A task's n-grams are merged before they leave it.
     """
-    known = rows.sparkSession.sparkContext.broadcast(fit)
+    flagged = rows.withColumn("_fit", F.lit(True)) if labels is None else with_fit(rows.select(id_col, text_col), labels, id_col)
 
     def run(batches):
         keys, sums = np.zeros(0, dtype=np.int64), np.zeros((2, 0), dtype=np.int64)
@@ -94,8 +94,7 @@ def gram_counts(rows: DataFrame, fit: np.ndarray | None, id_col: str, text_col:
         def out():
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums[0]), pa.array(sums[1])], names=["g", "c", "m"])
         for batch in common.small_batches(batches):
-            hashes = batch.column(0).to_numpy()
-            trusted = np.ones(len(hashes), dtype=bool) if known.value is None else among(hashes, known.value)
+            trusted = batch.column(0).to_pylist()
             texts = [t or b"" for t in common.byte_values(batch.column(1))]
             groups = [(1, [t for t, x in zip(texts, trusted) if x]), (0, [t for t, x in zip(texts, trusted) if not x])]
             for weight, part in [(w, group[s]) for w, group in groups for s in textnum.slices(group)]:
@@ -109,7 +108,7 @@ def gram_counts(rows: DataFrame, fit: np.ndarray | None, id_col: str, text_col:
         yield out()
 
     common.ship(rows.sparkSession)
-    return (rows.select(id_hash(id_col).alias("h"), F.col(text_col).cast("string")).mapInArrow(run, "g long, c long, m long")
+    return (flagged.select("_fit", F.col(text_col).cast("string")).mapInArrow(run, "g long, c long, m long")
             .groupBy("g").agg(F.sum("c").alias("c"), F.sum("m").alias("m")))
 
 
@@ -233,7 +232,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack:
     keeps a few rare letters from condemning a short text.  A row is kept if ``steady`` is at most
     ``threshold``: the quantile of the language's held-out rows (see above) times ``slack``.
     """
-    grams = cut_lineage(gram_counts(docs, fit_hashes(labels), id_col, text_col))
+    grams = cut_lineage(gram_counts(docs, labels, id_col, text_col))
     model = KneserNey(grams.where("c > 0").select("g", "c"))
     table = model.log_probability(grams).select("g", F.round(F.col("lp") * FIXED).cast("int").alias("lp"))
     table = cut_lineage(table.join(grams.select("g", "m"), "g"))

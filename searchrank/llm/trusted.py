@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from ..session import cut_lineage
 
-# Trusted rows that a model is fitted on: at most so many, the ones with the smallest id hashes
-# (8 bytes each, broadcast).  Thresholds and all corpus counts use every row.
+# Models are fitted on every trusted row that is not held out.  Up to so many of their ids are broadcast to the texts; more are
+# joined to them by a shuffle, so that no task and not the driver holds them all.
 TRUSTED_ROWS = 1_000_000
 HOLD = 10  # one trusted row in this many is held out of every fit, for the threshold
 
 
-def id_hash(id_col: str) -> Column:
-    return F.xxhash64(F.col(id_col))
-
-
 def held_out(id_col: str) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col), F.lit("held")), F.lit(HOLD)) == 0
 
@@ -30,14 +25,8 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
             .where("g and c").select(F.col(id_col).alias("_tid")))
 
 
-def fit_hashes(labels: DataFrame, id_col: str = "doc_id") -> np.ndarray:
-    """Sorted id hashes of the trusted rows to fit on."""
-    ids = trusted_ids(labels, id_col).where(~held_out("_tid")).select(id_hash("_tid").alias("h"))
-    return np.sort(common.columns_of(ids.orderBy("h").limit(TRUSTED_ROWS))["h"].astype(np.int64))
-
-
-def among(hashes: np.ndarray, sorted_hashes: np.ndarray) -> np.ndarray:
-    if not len(sorted_hashes):
-        return np.zeros(len(hashes), dtype=bool)
-    at = np.minimum(np.searchsorted(sorted_hashes, hashes), len(sorted_hashes) - 1)
-    return sorted_hashes[at] == hashes
+def with_fit(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``rows`` with ``_fit``: is the row one of the trusted ones to fit on."""
+    ids = cut_lineage(trusted_ids(labels).where(~held_out("_tid")))
+    ids = F.broadcast(ids) if ids.count() <= TRUSTED_ROWS else ids.hint("merge")
+    return rows.join(ids, rows[id_col] == ids["_tid"], "left").withColumn("_fit", F.col("_tid").isNotNull()).drop("_tid")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm_helpers import make_docs, words  # noqa: F401
-from searchrank.llm import importance, kn_quality, secret_scan, textnum
+from searchrank.llm import importance, kn_quality, secret_scan, textnum, trusted
 
 GOOD = ["ba", "lo", "mi", "ren", "tas", "vo", "kel", "dur"]
 
@@ -351,3 +351,17 @@ def test_pipeline_stages(spark, scratch):
     hurt = spark.createDataFrame([(None, None, None, None, None, None, None)] * 2 + [(1, "", None, None, None, None, None)], docs.schema)
     assert stages["n-gram Jaccard join"](spark, hurt, scratch).count() == 3
     assert stages["line dedup"](spark, hurt, scratch).count() == 3
+
+
+def test_models_are_fitted_on_every_trusted_row(corpus, monkeypatch):
+    docs, labels = corpus
+    by_kind = {}
+    for rows in (trusted.TRUSTED_ROWS, 5):  # ids broadcast, ids joined
+        monkeypatch.setattr(trusted, "TRUSTED_ROWS", rows)
+        by_kind[rows] = [sorted(map(tuple, found.collect())) for found in (
+            kn_quality.gram_counts(docs, labels, "doc_id", "text"), importance.counts(docs, labels, "doc_id", "text"))]
+    first, second = by_kind.values()
+    assert first == second
+    ids = {r["_tid"] for r in trusted.trusted_ids(labels).where(~trusted.held_out("_tid")).collect()}
+    texts = [r["text"].encode() for r in docs.collect() if r["doc_id"] in ids and r["text"]]
+    assert len(ids) > 5 and sum(c for _, c, _ in first[0]) == len(kn_quality.ngrams(texts)[0])
