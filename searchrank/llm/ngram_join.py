@@ -31,7 +31,9 @@ tokens that table lets through.  A fuller table lets more through and changes no
    outside it are too few.  A family of m copies costs about m comparisons instead of m * m.
 
 Both count a pair's shared tokens.  Step 2 joins by token and band of the larger size, (members outside the token's main component) x (members), by
-sort-merge joins that adaptive execution can split.
+sort-merge joins that adaptive execution can split.  Shared tokens have one order in both sets, so where the last of those asked for meets, both
+sets have as many tokens up to there: only such rows are joined.  A family's common tokens that stand first among a
+member's tokens make no pair; the pairs that meet have their shared tokens counted.
 
 Defined results: a text of fewer than ``n`` words but not none is one n-gram; null texts and texts
 without words have an empty set, link with nothing and are their own component; rows that share
@@ -45,7 +47,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -306,28 +308,35 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, id_col: str
     # but those asked for are not shared, and at most as many as stand before it in the centre belong to the centre
     outside = F.when(F.col("z") == F.col("b"), F.col("place") - F.col("pb") - F.expr(f"n * {100 - percent} div {200 * MORE}"))
     open_ = open_.withColumn("free", F.col("n") - F.col("o") - F.greatest(outside, F.lit(0))).drop("b", "pb")
+    open_ = open_.withColumn("nth", F.row_number().over(Window.partitionBy("s").orderBy("place")))  # among the set's tokens
     open_ = cut_lineage(open_)
 
     def band(size):
         return F.floor(F.ln(size) / F.lit(math.log(BAND)))
 
-    side = ["s", "n", "place", "g", "z", "o", "free"]
+    side = ["s", "n", "place", "g", "z", "o", "free", "nth"]
     in_main = F.col("g") == F.col("main")
+    # the last shared token asked for has that many tokens of either set up to it; the larger set may meet its smallest partner
     # the smaller set of a pair goes to the bands that its partners may have
-    small = open_.where("reach >= n").select("t", F.explode(F.sequence(band(F.col("n")), band(F.col("reach")))).alias("band"), in_main.alias("in_main"), *side)
-    large = open_.select("t", band(F.col("n")).alias("band"), in_main.alias("in_main"), *side)
+    small = open_.where("reach >= n").where(f"nth >= 1 + n * {100 - percent} div {200 * MORE}").select("t", F.explode(F.sequence(band(F.col("n")), band(F.col("reach")))).alias("band"), in_main.alias("in_main"), *side)
+    large = (open_.where(f"nth >= 1 + ((n * {percent} + 99) div 100) * {100 - percent} div {200 * MORE}")
+             .select("t", band(F.col("n")).alias("band"), in_main.alias("in_main"), *side))
 
     def met_at(x: DataFrame, y: DataFrame) -> DataFrame:
-        x = x.select("t", "band", *[F.col(c).alias(d) for c, d in zip(side, ("a", "na", "pa", "ga", "za", "oa", "fa"))])
-        y = y.select("t", "band", *[F.col(c).alias(d) for c, d in zip(side, ("b", "nb", "pb", "gb", "zb", "ob", "fb"))])
+        x = x.select("t", "band", *[F.col(c).alias(d) for c, d in zip(side, ("a", "na", "pa", "ga", "za", "oa", "fa", "ta"))])
+        y = y.select("t", "band", *[F.col(c).alias(d) for c, d in zip(side, ("b", "nb", "pb", "gb", "zb", "ob", "fb", "tb"))])
         in_order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
         compared = (F.col("za") == F.col("b")) | (F.col("zb") == F.col("a"))
         apart = (F.col("za") == F.col("zb")) & (F.least("oa", "ob") + F.least("fa", "fb") < need)
-        return (x.join(y, ["t", "band"]).where((F.col("ga") != F.col("gb")) & in_order & near & early)
+        return (x.join(y, ["t", "band"]).where((F.col("ga") != F.col("gb")) & in_order & near & early & (F.least("ta", "tb") >= asked))
                 .where(~F.coalesce(compared | apart, F.lit(False))).select("a", "b", "na", "nb"))
 
     cross = met_at(small.where("not in_main"), large).unionByName(met_at(small.where("in_main"), large.where("not in_main")))
-    cross = cross.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= asked).drop("m")
+    cross = cut_lineage(cross.distinct().select("a", "na", "b", "nb"))
+    left = open_.select("t", F.col("s").alias("a"), F.col("place").alias("pa"))
+    right = open_.select("t", F.col("s").alias("b"), F.col("place").alias("pb"))
+    cross = (cross.join(left, "a").join(right, ["t", "b"]).where(early)
+             .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= asked).drop("m"))
     cross = cut_lineage(cross)
     common.release(spark)
     edges = first.unionByName(cut_lineage(overlaps(cross).where(linked).select("a", "b")))

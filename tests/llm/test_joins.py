@@ -141,6 +141,30 @@ def test_family_just_below_the_threshold_has_few_candidates(spark, make_docs, mo
     assert sum(made) < 2 * len(rows)
 
 
+def test_family_with_few_common_tokens_meets_in_few_rows(spark, make_docs, monkeypatch):
+    """Copies that share fewer tokens than a link asks for, but share those with all others: no join of all with all."""
+    made, frame = [], type(spark.range(1))
+    real = frame.unionByName
+
+    def union(self, other, *a, **kw):
+        out = real(self, other, *a, **kw)
+        if out.columns == ["a", "b", "na", "nb"]:
+            made.append(out.count())
+        return out
+    monkeypatch.setattr(frame, "unionByName", union)
+    rng = np.random.default_rng(22)
+    base, texts = words(rng, 242, 10**6), []
+    for k in range(400):
+        w = list(base)
+        for p in rng.choice(np.arange(10, 235, 4), 5 if k % 8 else 3, replace=False):
+            w[p] = f"own{k}x{p}"
+        texts.append(" ".join(w))
+    rows = list(enumerate([" ".join(base), *texts]))
+    got = ngram_join.jaccard_components(make_docs(rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(rows, 3, 90)
+    assert made and sum(made) < 10 * len(rows)
+
+
 def test_jaccard_of_empty_table(make_docs):
     assert ngram_join.jaccard_components(make_docs([])).count() == 0
 
