@@ -3,10 +3,12 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from llm_helpers import make_docs, words  # noqa: F401
-from searchrank.llm import decontam, line_dedup, ngram_join, span_dedup, url_rules
+from searchrank.llm import common, decontam, line_dedup, ngram_join, span_dedup, url_rules
 from searchrank.llm.components import components
 from searchrank.llm.queries import URL_RULES
 
@@ -435,3 +437,32 @@ def test_texts_of_several_megabytes(spark, make_docs):
     bench = spark.createDataFrame([(7, item), (8, " ".join(base[449_900:449_920]))], "item_id long, text string")
     hits = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontam.decontaminate(make_docs(rows), bench).collect()}
     assert hits == {1: (20, ["8"]), 2: (20, ["8"]), 3: (20, ["7"])}
+
+
+# ------------------------------------------------------------ memory of Python tasks
+def test_texts_enter_and_leave_python_in_small_batches(spark):
+    """40 MB of texts in one partition: the batches that a task holds are a few MB, and what it has freed goes back."""
+    def held(batch):
+        yield batch.num_rows, batch.get_total_buffer_size(), pa.default_memory_pool().backend_name
+
+    texts = spark.range(0, 8000, 1, 1).select("id", F.repeat(F.lit("x"), 5000).alias("text"))
+    got = common.row_map(texts, held, "n long, size long, pool string").collect()
+    assert sum(r["n"] for r in got) == 8000
+    assert max(r["size"] for r in got) < 5e6 and {r["pool"] for r in got} == {"system"}
+    # small rows of 16 bytes, as the n-gram join sends them
+    out = list(common.batched(((k, True) for k in range(300_000)), pa.schema([("t", pa.int64()), ("small", pa.bool_())]), lambda r: 16))
+    assert sum(b.num_rows for b in out) == 300_000 and max(b.num_rows for b in out) < 70_000
+
+
+def test_a_smaller_batch_size_of_the_session_stays(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "1m")
+        common.ship(spark)
+        assert spark.conf.get(key) == "1m"
+        spark.conf.set(key, "64m")
+        common.ship(spark)
+        assert spark.conf.get(key) == str(common.IN_BYTES)
+    finally:
+        spark.conf.set(key, old)
